@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_simhash_near_dedup": simhash.query}
+    return {
+        "op4_quality_rules": quality.query,
+        "op5_best_fit_packing": packing.query,
+        "op9_simhash_near_dedup": simhash.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
