@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixcoder, packing, quality, simhash
+from . import hmm, mixcoder, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": quality.query,
         "op5_best_fit_packing": packing.query,
         "op9_simhash_near_dedup": simhash.query,
+        "op10_hmm_scoring": hmm.query,
     }
 
 
