@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, mixcoder, packing, quality, simhash
+from . import fingerprint, hmm, mixcoder, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_iblt_fingerprint": fingerprint.query,
         "op2_context_mixing_coder": mixcoder.query,
         "op4_quality_rules": quality.query,
         "op5_best_fit_packing": packing.query,
