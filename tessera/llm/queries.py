@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, hmm, mixcoder, packing, quality, simhash
+from . import fingerprint, hmm, mixcoder, mixing, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,10 +17,11 @@ def queries() -> dict[str, Query]:
         "op2_context_mixing_coder": mixcoder.query,
         "op4_quality_rules": quality.query,
         "op5_best_fit_packing": packing.query,
+        "op7_mixing": mixing.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_hmm_scoring": hmm.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.oracle()}
