@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, hmm, mixcoder, mixing, packing, quality, simhash
+from . import fingerprint, hmm, mixcoder, mixing, packing, piececount, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_iblt_fingerprint": fingerprint.query,
         "op2_context_mixing_coder": mixcoder.query,
+        "op3_piece_counts": piececount.query,
         "op4_quality_rules": quality.query,
         "op5_best_fit_packing": packing.query,
         "op7_mixing": mixing.query,
