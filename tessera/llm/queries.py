@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, hmm, mixcoder, mixing, packing, piececount, quality, simhash
+from . import fingerprint, hmm, langid, mixcoder, mixing, packing, piececount, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": quality.query,
         "op5_best_fit_packing": packing.query,
         "op7_mixing": mixing.query,
+        "op8_byte_cnn_langid": langid.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_hmm_scoring": hmm.query,
     }
