@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, hmm, langid, mixcoder, mixing, packing, piececount, quality, simhash
+from . import fingerprint, hmm, langid, mixcoder, mixing, packing, piececount, quality, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_piece_counts": piececount.query,
         "op4_quality_rules": quality.query,
         "op5_best_fit_packing": packing.query,
+        "op6_toxicity": toxicity.query,
         "op7_mixing": mixing.query,
         "op8_byte_cnn_langid": langid.query,
         "op9_simhash_near_dedup": simhash.query,
