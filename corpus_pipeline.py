@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, simhash
+from tessera.llm import common, mixing, packing, quality, simhash, toxicity
+
+#: The pipeline repeats no document (the stage before made them distinct) and keeps what fits the target weights.
+MIX = {"share_percent": 90, "epochs": 1}
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go."""
+    return quality.keep_good(docs)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learnt from the labels of documents still there, rejects go."""
+    return toxicity.keep_clean(docs, common.read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +25,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are chosen so that domains, languages and sources come near their target weights."""
+    return mixing.mix(docs, **MIX)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place in it."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: Trained models and content hashes decide here; SQL can't express them.
 ORACLE_SQL = None
