@@ -53,7 +53,8 @@ def _make(n: Column, k: Column, c: Column) -> Column:
     return F.struct(n.cast("long").alias("n"), k.cast("long").alias("k"), c.cast("long").alias("c"))
 
 
-_EMPTY = _make(F.lit(0), F.lit(0), F.lit(0))
+def _empty() -> Column:
+    return _make(F.lit(0), F.lit(0), F.lit(0))
 
 
 def _add(cell: Column, entry: Column) -> Column:
@@ -66,7 +67,7 @@ def sketch(keys: Column) -> Column:
     def group(entries: Column, g: int) -> Column:
         numbers = F.array(*[F.lit(g * GROUP_CELLS + i) for i in range(GROUP_CELLS)])
         placed = F.transform(entries, lambda e: F.struct(_cell(e["k"], g).alias("at"), e.alias("e")))
-        return common.let(placed, lambda p: F.transform(numbers, lambda i: F.aggregate(F.filter(p, lambda x: x["at"] == i), _EMPTY, lambda a, x: _add(a, x["e"]))))
+        return common.let(placed, lambda p: F.transform(numbers, lambda i: F.aggregate(F.filter(p, lambda x: x["at"] == i), _empty(), lambda a, x: _add(a, x["e"]))))
 
     entries = F.transform(keys, lambda k: _make(F.lit(1), k, _check(k)))
     return common.let(entries, lambda e: F.concat(*[group(e, g) for g in range(GROUPS)]))
