@@ -132,7 +132,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 def _retry(pairs: DataFrame) -> DataFrame:
     """rid, kind, plus, minus for pairs (rid, kind, a, b: their digests) by larger sketches."""
     spark = pairs.sparkSession
-    sized = pairs.withColumn("shards", F.pow(F.lit(2), F.ceil(F.log2((F.size("a") + F.size("b")) / F.lit(SHARD_KEYS)))).cast("long"))
+    sized = pairs.withColumn("shards", F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2((F.size("a") + F.size("b")) / F.lit(SHARD_KEYS)))).cast("long")))
     keyed = sized.select(
         "rid", "kind", "shards", F.explode(F.concat(F.transform("a", lambda k: F.struct(k.alias("k"), F.lit(1).alias("s"))), F.transform("b", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("s"))))).alias("e")
     ).select("rid", "kind", "shards", F.col("e.k").alias("k"), F.col("e.s").alias("s"))
