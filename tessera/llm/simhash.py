@@ -189,7 +189,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         common.drop_table(e)
         e = new
         if now == last:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+            leaves = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+            return leaves.union(e.select("v", "v").distinct())
         last = now
     raise RuntimeError("components did not settle")
 
