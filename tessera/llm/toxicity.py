@@ -139,7 +139,11 @@ def label_model(v: np.ndarray) -> np.ndarray:
     with the others, so that copies of one voter count about once.
     """
     n = len(v)
-    p = 1 / (1 + np.exp(1 - 2.0 * v.sum(1)))
+    # at first, votes weigh by how much they repeat each other at all
+    sd = v.std(0) + 1e-9
+    alike = np.abs((v - v.mean(0)).T @ (v - v.mean(0)) / n / sd[:, None] / sd[None])
+    w = 1 / alike.sum(1).clip(1)
+    p = 1 / (1 + np.exp(1 - 2.0 * v.shape[1] * (v @ w) / w.sum()))
     for _ in range(ROUNDS):
         q = np.stack([1 - p, p])
         prior = (q.sum(1) + 1) / (n + 2)
