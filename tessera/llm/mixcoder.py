@@ -253,7 +253,7 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int], vocab: int) -> list[n
         small = np.flatnonzero(new < _LOW32)
         if len(small):
             lane = small if isinstance(at, slice) else at[small]
-            left[small] = (left[small] << _U32) | flat[at_word[lane]]
+            left[small] = (left[small] << _U32) | flat.take(at_word[lane], mode="clip")  # damaged words may ask for more
             at_word[lane] += 1
             new[small] <<= _U32
         off[at], rng[at] = left, new
