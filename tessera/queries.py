@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import fnv1_32, valid_element, within
-from .functions.ranges import MAX_OFFSET, segment
+from .functions.ranges import segment
 from .operators import bitmaps, dk, hashes, keyspace, lists, maintenance, sets, zsets
 from .plans import merge
 from .schema import DataType, Kind
@@ -505,9 +505,10 @@ def bitmap_count_range(t):
     return bitmaps.count(t.bits(), 1000, 200_000)
 
 
-@query("bits", "SELECT key, coalesce(min(CASE WHEN \"offset\" >= 100000 THEN \"offset\" END), -1) AS pos FROM bits WHERE \"offset\" >= 65536 GROUP BY key")
+@query("bits", """, s AS (SELECT key, "offset", "offset" - "offset" % 65536 AS seg FROM bits), f AS (SELECT key, min(seg) AS seg FROM s WHERE seg >= 65536 GROUP BY key)
+SELECT s.key, coalesce(min(CASE WHEN "offset" >= 100000 AND s.seg = f.seg THEN "offset" END), -1) AS pos FROM s LEFT JOIN f USING (key) GROUP BY s.key""")
 def bitmap_pos_one(t):
-    return bitmaps.first_set(t.bits().where(f"offset <= {MAX_OFFSET}"), 100_000, -1).where("pos IS NOT NULL")
+    return bitmaps.first_set(t.bits(), 100_000, -1)
 
 
 @query("user_bits", """, g AS (SELECT key, "offset" - row_number() OVER (PARTITION BY key ORDER BY "offset") AS grp, "offset" FROM user_bits)
