@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-BLOCK = 4096
+BLOCK = 2048
 END_ID = 2
 #: Tokens of a segment, and segments coded in lockstep, at most (a longer document is a segment of its own).
 SEGMENT_TOKENS, FLUSH_TOKENS = 1 << 20, 1 << 23
@@ -41,7 +41,7 @@ _T = 1 << _BITS
 _TOP = _T - (1 << 15)  # the most that orders 1 and 2 may take together: order 0 keeps room for a block's history
 _ID_BITS = 24
 _ID = (1 << _ID_BITS) - 1
-_T1, _T2 = 10, 12  # log2 of the slots of each block's tables
+_T1, _T2 = 9, 11  # log2 of the slots of each block's tables
 _MARKS = [16, 32, 64, 128, 256, 384, 512, 768, 1024, 1536, 2048, 3072]
 _LOW32, _ONE, _LAST = np.uint64(1 << 32), np.uint64(1), np.uint64(_T - 1)
 _U32 = np.uint64(32)
@@ -110,8 +110,11 @@ class _Model:
 
     def share(self, lo: np.ndarray, hi: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Their part of order 0's room. Exact: the products stay below 2^36, far from where doubles round a floor."""
-        scale, total = self.a0.astype(np.float64), self.total[:m]
-        return (lo * scale / total).astype(np.int64), (hi * scale / total).astype(np.int64)
+        x = np.empty((2, m))
+        np.multiply(lo, self.a0, out=x[0])
+        np.multiply(hi, self.a0, out=x[1])
+        x /= self.total[:m]
+        return x.astype(np.int64)
 
     def predict(self, m: int) -> None:
         """Tables hold id + 1 (0: nothing yet), so an empty slot never names an id, and its confidence 0 has weight 0."""
@@ -141,7 +144,8 @@ class _Model:
         move += self.w
         self.q[self.j] = move
         new = self.e + _MOVE.take(kind)
-        self.table[self.i] = np.where(kind > 1, new, s + (1 + (1 << _ID_BITS)))
+        np.copyto(new, s + (1 + (1 << _ID_BITS)), where=kind < 2, casting="unsafe")
+        self.table[self.i] = new
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = s
 
@@ -211,10 +215,13 @@ def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
             x, y = model.share(lo, hi, m)
         else:
             fresh, x, y = np.ones(m, bool), 0, model.a0
-        cum = np.where(in2, 0, np.where(in1, model.a2, model.rest + x))
-        freq = np.where(in2, model.a2, np.where(in1, model.a1, y - x))
+        cum, freq = model.rest + x, y - x
+        h1, h2 = np.flatnonzero(in1), np.flatnonzero(in2)
+        cum[h1], freq[h1] = model.a2[h1], model.a1[h1]
+        cum[h2], freq[h2] = 0, model.a2[h2]
+        fresh[h1] = fresh[h2] = False
         put(slice(0, m), cum, freq)
-        esc = np.flatnonzero(fresh & ~in2 & ~in1)
+        esc = np.flatnonzero(fresh)
         if len(esc):
             e = s[esc]
             put(esc, model.prior[e], model.prior[e + 1] - model.prior[e])
@@ -285,11 +292,15 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int], vocab: int) -> list[n
             x, y = model.share(lo, hi, m)
         else:
             fresh, s0, x, y = np.ones(m, bool), np.zeros(m, np.int64), 0, model.a0
-        cum = np.where(in2, 0, np.where(in1, model.a2, model.rest + x))
-        freq = np.where(in2, model.a2, np.where(in1, model.a1, y - x))
+        cum, freq = model.rest + x, y - x
+        h1, h2 = np.flatnonzero(in1), np.flatnonzero(in2)
+        cum[h1], freq[h1] = model.a2[h1], model.a1[h1]
+        cum[h2], freq[h2] = 0, model.a2[h2]
+        fresh[h1] = fresh[h2] = False
         take(slice(0, m), r, cum, freq)
-        s = np.where(in2, model.c2, np.where(in1, model.c1, s0))
-        esc = np.flatnonzero(fresh & ~in2 & ~in1)
+        s = s0
+        s[h1], s[h2] = model.c1[h1], model.c2[h2]
+        esc = np.flatnonzero(fresh)
         if len(esc):
             r, v = value(esc)
             e = np.searchsorted(model.prior, v, side="right") - 1

@@ -61,12 +61,12 @@ class Encoder:
             else:
                 odd.add(c)
         rest = list(odd)
-        for c, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             known[c] = self._bytes(e.ids)
         words = list(plain)
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
-            ids = np.array(self.tokenizer.encode_batch([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 raw, w = ids.tobytes(), self.dtype.itemsize

@@ -221,6 +221,15 @@ def test_stream_into_store(spark, tmp_path):
     assert rows(store.elements(DataType.HASH), "key", "subkey", "value") == model(a + b)
 
 
+def test_expiry_stream(spark, tmp_path):
+    src = f"file://{tmp_path}/src"
+    spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id, 0) AS ts, IF(id % 2 = 0, 0, 1704067200000 + id * 1000) AS expire_ms FROM range(60)").write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    q = ingest.expired(stream, "ts").writeStream.format("memory").queryName("expired").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("SELECT sum(n) FROM expired").first()[0] == 25  # windows the watermark has passed: 50 minutes
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
