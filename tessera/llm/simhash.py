@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = common.write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = components(links(classes))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    firsts = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # a table of its own: the join's two sides are then dealt anew, and a component with very many fingerprints can be split
+    firsts = common.write_table(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "firsts")
     label = named.join(firsts, "root").select("fp", "component_id")
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
