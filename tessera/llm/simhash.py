@@ -9,6 +9,10 @@ before they leave the task; connected components are then found by alternating l
 Defined results: a null or blank text has the fingerprint zero and is linked like any other; fewer than three words
 make one shingle; rows with equal ids each get a row; an empty table gives an empty result; a null doc_id is
 fingerprinted, and never names a component unless every member's id is null (then null). Other columns are ignored.
+
+The pipeline's stage (keep_dissimilar) has a definition of its own: texts whose sets of 5-word shingles have Jaccard 0.8 or
+more are linked. Candidates share one of the first n - ceil(0.8 n) + 1 of their n shingles, rarest first (no pair at 0.8
+can do otherwise), and pass the bounds of length and place; each link is then verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,6 +31,12 @@ RADIUS = 3
 SEED = 42
 #: Groups above this size are searched breadth first instead of by listing their pairs.
 SMALL_GROUP = 32
+#: Words of a shingle in the pipeline's stage.
+STAGE_WORDS = 5
+#: Texts are counted by so many buckets of shingle hashes, added up in so many slices.
+COUNT_BUCKETS, COUNT_SLICES = 1 << 20, 64
+#: Candidates of a text that are verified before its other candidates, most of which are connected by then.
+FIRST_CANDIDATES = 8
 
 _PAIRS = np.zeros((32, 15), np.int64)  # for each syndrome, the 15 two-bit masks that lead to a codeword
 for _s in range(1, 32):
@@ -207,6 +217,191 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str | None, k: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's runs of k words, sorted; fewer than k words make one run."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(words)
+    if n < k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    word = np.fromiter([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64, n)
+    h = word[: n - k + 1].copy()
+    for i in range(1, k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + word[i : n - k + 1 + i]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return np.unique(h)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingles have Jaccard 4/5 or more, in whole numbers: 9 |x & y| >= 4 (|x| + |y|)."""
+    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+
+
+def text_key(text: Column) -> Column:
+    """Equal for texts of equal words: hash of the text in lower case (A-Z) with single spaces."""
+    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.xxhash64(F.trim(F.regexp_replace(lower, common.SPACE, " ")))
+
+
+def _buckets(shingle: np.ndarray) -> np.ndarray:
+    return (shingle & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)
+
+
+def _shingle_counts(texts: DataFrame) -> np.ndarray:
+    """In how many texts the shingles of each bucket are. It only orders shingles: a collision costs no pair."""
+    width = COUNT_BUCKETS // COUNT_SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNT_BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                np.add.at(n, _buckets(shingles(t)), 1)
+        parts = [x.tobytes() for x in n.reshape(-1, width)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[s] = sums.get(s, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "n"])
+
+    kind = "slice int, n binary"
+    out = np.zeros((COUNT_SLICES, width), np.int64)
+    for s, n in texts.select("text").mapInArrow(count, kind).repartition(COUNT_SLICES, "slice").mapInArrow(add, kind).collect():
+        out[s] = np.frombuffer(n, np.int64)
+    return out.ravel()
+
+
+def _candidate_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs a < b of one shingle's texts that may be similar. Rows (shingle, key, n, pos) come sorted by shingle and
+    key; a group may run over batches, and hold a text once for each task that met it."""
+
+    def may(n1, p1, n2, p2):
+        return (5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)) & (9 * np.minimum(n1 - p1, n2 - p2) >= 4 * (n1 + n2))
+
+    def record(found: list) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = rows[np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))]
+        starts = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+        sizes = np.diff(np.append(starts, len(rows)))
+        key, n, p = rows[:, 1], rows[:, 2], rows[:, 3]
+        found, held = [], 0
+        for size in np.unique(sizes[sizes > 1]):
+            of = starts[sizes == size]
+            for at in of[:, None] if size > SMALL_GROUP else [of]:
+                for i in range(size - 1):
+                    x = (at + i)[:, None]
+                    y = at[:, None] + np.arange(i + 1, size)
+                    g, j = np.nonzero(may(n[x], p[x], n[y], p[y]))
+                    found.append((key[x[g, 0]], key[y[g, j]]))
+                    held += len(g)
+                    if held > 1 << 18:
+                        yield record(found)
+                        found, held = [], 0
+        yield record(found)
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
+        if not len(rows):
+            continue
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if cut:
+            yield from pairs(np.concatenate([*held, rows[:cut]]))
+            held = []
+            rows = rows[cut:]
+        elif held and held[0][0, 0] != rows[0, 0]:
+            yield from pairs(np.concatenate(held))
+            held = []
+        held.append(rows)
+    if held:
+        yield from pairs(np.concatenate(held))
+
+
+def candidates(keyed: DataFrame) -> DataFrame:
+    """a, b (keys, a < b): every pair of texts of keyed (key, text) with Jaccard 0.8 or more, and some others."""
+    spark = keyed.sparkSession
+    common.ship(spark)
+    counts = spark.sparkContext.broadcast(_shingle_counts(keyed))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            found = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k in seen:
+                    continue
+                seen.add(k)
+                s = shingles(t)
+                n = len(s)
+                first = s[np.lexsort((s, counts.value[_buckets(s)]))][: n - (4 * n + 4) // 5 + 1]
+                m = len(first)
+                found.append((first.view(np.int64), np.full(m, k, np.int64), np.full(m, n, np.int32), np.arange(m, dtype=np.int32)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["shingle", "key", "n", "pos"])
+
+    posts = keyed.select("key", "text").mapInArrow(spread, "shingle long, key long, n int, pos int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return posts.repartition(parts, "shingle").sortWithinPartitions("shingle", "key").mapInArrow(_candidate_links, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts (key, text) are similar, as links u, v."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def get(key: int, text: str) -> np.ndarray:
+            if key not in known:
+                if len(known) >= 256:
+                    known.clear()
+                known[key] = shingles(text)
+            return known[key]
+
+        for x in batches:
+            a, b, ta, tb = (c.to_pylist() for c in x.columns)
+            hit = [i for i in range(len(a)) if similar(get(a[i], ta[i]), get(b[i], tb[i]))]
+            yield pa.RecordBatch.from_arrays([pa.array([b[i] for i in hit], pa.int64()), pa.array([a[i] for i in hit], pa.int64())], names=["u", "v"])
+
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(check, "u long, v long")
+
+
+def similar_components(keyed: DataFrame) -> DataFrame:
+    """node (key), root of every text of keyed (key, text) that is linked to another by Jaccard 0.8 or more.
+
+    A few candidates of each text are verified first; of the others only those whose texts aren't connected by then."""
+    pairs = common.write_table(candidates(keyed), "candidates")
+    involved = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    texts = common.write_table(keyed.select("key", "text").join(involved, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    first = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("rn") <= FIRST_CANDIDATES)
+    links = common.write_table(_verified(first.select("a", "b"), texts), "links")
+    roots = components(links)
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(root_a, a) != coalesce(root_b, b)")
+    return components(links.union(_verified(apart.select("a", "b"), texts)))
+
+
+def _first_rows(docs: DataFrame, classes) -> DataFrame:
+    """One row of docs for each class: the smallest by id (null last), then by text. classes gives node, root for the
+    keys of a table (key, text); a key it leaves out is a class of its own."""
+    keyed = docs.withColumn("__key", text_key(F.col("text")))
+    roots = classes(keyed.select(F.col("__key").alias("key"), F.col("text").cast("string").alias("text")))
+    rows = keyed.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), F.col("__key") == F.col("__node"), "left")
+    order = Window.partitionBy("__class").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    return rows.withColumn("__class", F.coalesce("__root", "__key")).withColumn("__rn", F.row_number().over(order)).where("__rn = 1").select(docs.columns)
+
+
+def keep_dissimilar(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one for each class of texts linked by Jaccard 0.8 or more of their 5-word shingles."""
+    return _first_rows(docs, similar_components)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, one for each class of near-duplicates (the one with the smallest id; of rows with equal ids
     the first by text); rows with a null id stay only if nothing else is in their class."""

@@ -399,6 +399,43 @@ def test_simhash(docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
 
 
+def brute_shingles(t):
+    words = (t or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def test_stage_finds_every_pair_at_four_fifths(spark, docs, no_docs):
+    r = random.Random(8)
+    say = lambda n: [r.choice("abcdefghijklmnopqrst") for _ in range(n)]
+    rows = [(i, t) for i, t in enumerate(t for _, t in ROWS if t is None or len(t) < 5000)]
+    for n in (5, 9, 30, 200):
+        for _ in range(12):
+            words = say(n)
+            for edits in (0, 1, 1, 2, 5):
+                for _ in range(edits):
+                    words[r.randrange(n)] = r.choice("xyz")
+                rows.append((len(rows), " ".join(words)))
+    sets = [brute_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for b in range(len(rows)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                far += bin(brute_fingerprint(rows[a][1]) ^ brute_fingerprint(rows[b][1])).count("1") > 3
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert far > 10  # pairs that fingerprints within 3 bits don't link
+    kept = simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted({find(x) for x in range(len(rows))})
+    assert simhash.keep_dissimilar(docs).columns == docs.columns and simhash.keep_dissimilar(no_docs).count() == 0
+
+
 def test_links_lose_no_neighbour(spark):
     r = random.Random(10)
     fps = set()
