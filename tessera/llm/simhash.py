@@ -405,13 +405,12 @@ def keep_dissimilar(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, one for each class of near-duplicates (the one with the smallest id; of rows with equal ids
     the first by text); rows with a null id stay only if nothing else is in their class."""
-    found = common.write_table(near_duplicates(docs), "near")
-    ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    nameless = found.where("component_id IS NULL").limit(1).count()
-    if nameless:
-        kept = kept.union(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
-    return kept
+
+    def classes(keyed: DataFrame) -> DataFrame:
+        found = near_duplicates(keyed.withColumnRenamed("key", "doc_id"))
+        return found.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+
+    return _first_rows(docs, classes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

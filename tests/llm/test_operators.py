@@ -436,6 +436,15 @@ def test_stage_finds_every_pair_at_four_fifths(spark, docs, no_docs):
     assert simhash.keep_dissimilar(docs).columns == docs.columns and simhash.keep_dissimilar(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["keep_one", "keep_dissimilar"])
+def test_one_row_of_each_class_whatever_the_ids(spark, keep):
+    r = random.Random(11)
+    a, b, c, d = (" ".join(r.choice("abcdefghijkl") for _ in range(300)) for _ in range(4))
+    rows = [(1, a), (2, b), (2, a), (2, c), (2, c), (None, a), (None, d), (None, d.upper()), (None, c)]
+    kept = getattr(simhash, keep)(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert Counter(tuple(x) for x in kept.collect()) == Counter([(1, a), (2, b), (2, c), (None, min(d, d.upper()))])
+
+
 def test_links_lose_no_neighbour(spark):
     r = random.Random(10)
     fps = set()
