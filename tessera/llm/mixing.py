@@ -83,15 +83,15 @@ def budgets(supply: DataFrame, total: int, weights: dict[str, dict[str, int]], e
     return supply.join(given.withColumnRenamed("budget", "given"), list(LEVELS))
 
 
-def select(docs: DataFrame, weights: dict = WEIGHTS, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
+def select(docs: DataFrame, weights: dict = WEIGHTS, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None, carry_text: bool = True) -> DataFrame:
     """The chosen rows of docs, once for each epoch that has them, with four more columns: __mix_domain,
-    __mix_tokens, __mix_epoch, and __mix_id (the text of the id)."""
+    __mix_tokens, __mix_epoch, and __mix_id (the text of the id). The text is left out unless carry_text."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     base = docs.withColumns({
         f"{_P}domain": domain_of(F.col("source")) if domain is None else domain,
         f"{_P}lang": name("lang"), f"{_P}source": name("source"), f"{_P}id": name("doc_id"), f"{_P}tokens": n_tokens(F.col("text")),
     }).where(F.col(f"{_P}tokens") > 0)
-    if "text" in docs.columns and len(docs.columns) <= 4:
+    if not carry_text:
         base = base.drop("text")
     base = common.write_table(base, "mixing")
     supply = common.write_table(base.groupBy(*[F.col(f"{_P}{k}").alias(k) for k in LEVELS]).agg(F.sum(f"{_P}tokens").alias("supply")), "supply")
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = select(common.read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    chosen = select(common.read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), carry_text=False)
     return chosen.select(
         "doc_id", F.col(f"{_P}domain").alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col(f"{_P}epoch").alias("epoch"), F.col(f"{_P}tokens").alias("n_tokens")
     )

@@ -319,6 +319,12 @@ def test_mixing(docs, no_docs):
     assert mixing.select(no_docs).count() == 0
 
 
+def test_mixing_carries_the_text_of_narrow_tables(docs):
+    narrow = docs.select("doc_id", "text", "lang", "source")
+    got = mixing.mix(narrow)
+    assert got.columns == narrow.columns and multiset(got) == multiset(mixing.mix(docs).select(narrow.columns)) and got.count() > 0
+
+
 def test_mixing_sql(spark, docs, tmp_path):
     import duckdb
 
