@@ -92,6 +92,41 @@ def scan_type_filter_alive(t):
     return rows.where(F.col("key").startswith("1")).select("key")
 
 
+# The queries above ask for some keys; these ask for every user's and every customer's, most of which have no string.
+_ALL_KEYS = "(SELECT CAST(user_id AS VARCHAR) AS key FROM events UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer)"
+
+
+def _all_keys(t: Tables) -> DataFrame:
+    return t.read("events").select(F.col("user_id").cast("string").alias("key")).union(t.read("customer").select(F.col("c_custkey").cast("string"))).distinct()
+
+
+@query("strings", f"SELECT key, key IN (SELECT key FROM strings) AS found FROM {_ALL_KEYS}")
+def exists_batch_all(t):
+    return keyspace.exists(strings(t), _all_keys(t))
+
+
+@query("strings", f"SELECT key, value, expire_ms FROM strings WHERE key IN (SELECT key FROM {_ALL_KEYS})")
+def get_batch_all(t):
+    return keyspace.get(strings(t), _all_keys(t))
+
+
+@query("strings", f"SELECT k.key, CAST(CASE WHEN s.expire_ms IS NULL OR (s.expire_ms != 0 AND s.expire_ms <= {NOW_EVENTS}) OR (s.expire_ms = 0 AND CAST(k.key AS BIGINT) % 2 = 0) THEN 0 ELSE 1 END AS BIGINT) AS result FROM {_ALL_KEYS} k LEFT JOIN strings s ON s.key = k.key")
+def expire_at_result_all(t):
+    wanted = _all_keys(t).withColumn("new_ms", F.when(F.col("key").cast("long") % 2 == 0, 0).otherwise(NOW_EVENTS + 1000))
+    return keyspace.expire_at(strings(t), wanted, NOW_EVENTS).select("key", "result")
+
+
+@query("strings", f"SELECT k.key, CAST(CASE WHEN s.key IS NULL OR (s.expire_ms != 0 AND s.expire_ms <= {NOW_EVENTS}) THEN 0 ELSE 1 END AS BIGINT) AS result FROM {_ALL_KEYS} k LEFT JOIN strings s ON s.key = k.key")
+def key_delete_effect_all(t):
+    return keyspace.delete(strings(t), _all_keys(t), NOW_EVENTS)[1].select("key", "result")
+
+
+@query("strings", f"SELECT key FROM strings WHERE expire_ms = 0 OR expire_ms > {NOW_EVENTS}")
+def scan_type_filter_alive_all(t):
+    state = strings(t).withColumns({"data_type": F.lit(1), "slot": F.lit(0)})
+    return keyspace.typed(state, DataType.STRING, NOW_EVENTS).where("ok").select("key")
+
+
 @query("strings", f"SELECT CAST(CAST(key AS BIGINT) % 16 AS INTEGER) AS slot, key FROM strings WHERE (expire_ms = 0 OR expire_ms > {NOW_EVENTS}) AND (CAST(key AS BIGINT) % 16, key) > (3, '') ORDER BY 1, 2 LIMIT 13")
 def scan_page_keyset(t):
     state = strings(t).withColumns({"data_type": F.lit(1), "slot": (F.col("key").cast("long") % 16).cast("int")})
@@ -168,6 +203,12 @@ def hash_get(t):
     return hashes.get(live_hashes(t), wanted)
 
 
+@query("hashes", "SELECT key, field, value FROM hashes")
+def hash_get_all_fields(t):
+    wanted = t.hash_ops().select("key").distinct().crossJoin(t.hash_ops().select("field").distinct())
+    return hashes.get(live_hashes(t), wanted)
+
+
 _WANTED = "(SELECT DISTINCT key, f AS field, p AS pos FROM hash_ops, (VALUES ('view', 0), ('nope', 1), ('click', 2)) w(f, p))"
 
 
@@ -258,6 +299,12 @@ def set_ismember(t):
     return sets.contains(t.sets(), wanted)
 
 
+@query("sets", "SELECT key, member, CAST((key, member) IN (SELECT (key, member) FROM sets) AS BIGINT) AS found FROM (SELECT key, member FROM sets UNION SELECT key, CAST(CAST(member AS BIGINT) + 1 AS VARCHAR) FROM sets)")
+def set_ismember_all(t):
+    wanted = t.sets().union(t.sets().select("key", (F.col("member").cast("long") + 1).cast("string"))).distinct()
+    return sets.contains(t.sets(), wanted)
+
+
 @query("sets", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS rn FROM sets) WHERE rn <= 10")
 def set_pop_first_n(t):
     return sets.pop(t.sets(), 10)[0]
@@ -495,6 +542,12 @@ def bitmap_getbit(t):
     return bitmaps.get_bits(t.user_bits(), wanted)
 
 
+@query("user_bits", "SELECT key, o AS \"offset\", CAST((key, o) IN (SELECT (key, \"offset\") FROM user_bits) AS BIGINT) AS bit FROM (SELECT DISTINCT key FROM user_bits), (SELECT user_id AS o FROM events UNION SELECT c_custkey FROM customer)")
+def bitmap_getbit_all(t):
+    offsets = _all_keys(t).select(F.col("key").cast("long").alias("offset"))
+    return bitmaps.get_bits(t.user_bits(), t.user_bits().select("key").distinct().crossJoin(offsets))
+
+
 @query("bits", "SELECT key, count(DISTINCT \"offset\") AS n FROM bits GROUP BY key")
 def bitmap_count(t):
     return bitmaps.count(t.bits())

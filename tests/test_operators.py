@@ -231,6 +231,14 @@ def test_expiry_stream(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM expired").first()[0] == sum(i % 2 for i in range(45))
 
 
+def test_whole_tables_are_asked_for(spark):
+    users = {str(r[0]) for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").collect()}
+    customers = {str(r[0]) for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
+    for name in ("exists_batch_all", "expire_at_result_all", "key_delete_effect_all"):
+        assert {r["key"] for r in QUERIES[name](spark, SF).collect()} == users | customers, name
+    assert {r["offset"] for r in QUERIES["bitmap_getbit_all"](spark, SF).collect()} == {int(x) for x in users | customers}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
