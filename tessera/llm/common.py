@@ -88,6 +88,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def named(column: str) -> Column:
+    """A column by its literal name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row_of(docs: DataFrame) -> Column:
+    """All columns of docs as one struct: beside it an operator may name its own columns as it likes. select("row.*") brings them back."""
+    return F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row")
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, mod parts (a null id: of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(parts))

@@ -11,8 +11,11 @@ make one shingle; rows with equal ids each get a row; an empty table gives an em
 fingerprinted, and never names a component unless every member's id is null (then null). Other columns are ignored.
 
 The pipeline's stage (keep_dissimilar) has a definition of its own: texts whose sets of 5-word shingles have Jaccard 0.8 or
-more are linked. Candidates share one of the first n - ceil(0.8 n) + 1 of their n shingles, rarest first (no pair at 0.8
-can do otherwise), and pass the bounds of length and place; each link is then verified on the whole texts.
+more are linked. Such pairs differ in up to a dozen bits, too many for a covering, so fingerprints of these shingles and
+their anchors only propose the first pairs; the rest come from prefixes: of its n shingles, rarest first, a text posts the
+first n - ceil(0.8 n) + 1, and no pair at 0.8 can do without a common one. Texts that share a posted shingle are first
+linked through a hub, the one of them that shares most, so a group of near copies costs a pair for each text and not for
+each two; only pairs of texts still in different classes are then listed. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ SMALL_GROUP = 32
 STAGE_WORDS = 5
 #: Texts are counted by so many buckets of shingle hashes, added up in so many slices.
 COUNT_BUCKETS, COUNT_SLICES = 1 << 20, 64
-#: Candidates of a text that are verified before its other candidates, most of which are connected by then.
-FIRST_CANDIDATES = 8
+#: Rounds in which a group of texts is linked through one of them before pairs still apart are listed.
+HUB_ROUNDS = 2
 
 _PAIRS = np.zeros((32, 15), np.int64)  # for each syndrome, the 15 two-bit masks that lead to a codeword
 for _s in range(1, 32):
@@ -248,86 +251,67 @@ def _buckets(shingle: np.ndarray) -> np.ndarray:
     return (shingle & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)
 
 
-def _shingle_counts(texts: DataFrame) -> np.ndarray:
-    """In how many texts the shingles of each bucket are. It only orders shingles: a collision costs no pair."""
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of h, as a signed long."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        counts += np.add.reduce(np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0])
+
+
+def _signatures(keyed: DataFrame) -> DataFrame:
+    """key, fp (SimHash of the shingles) of every text, and at the end of each task slice, n: in how many of its texts
+    the shingles of each bucket are. A task holds the numbers of all buckets and one batch."""
     width = COUNT_BUCKETS // COUNT_SLICES
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNT_BUCKETS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(COUNT_BUCKETS, np.uint32), {}
+        batch = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "fp", "slice", "n"])
         for b in batches:
-            for t in b.column(0).to_pylist():
-                np.add.at(n, _buckets(shingles(t)), 1)
-        parts = [x.tobytes() for x in n.reshape(-1, width)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "n"])
+            keys = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k not in seen:
+                    s = shingles(t)
+                    seen[k] = _majority(s)
+                    total[_buckets(s)] += 1  # a text's shingles that share a bucket count once
+                    keys.append(k)
+            yield batch(keys, [seen[k] for k in keys], [None] * len(keys), [None] * len(keys))
+        yield batch([None] * COUNT_SLICES, [None] * COUNT_SLICES, range(COUNT_SLICES), [x.tobytes() for x in total.reshape(-1, width)])
+
+    return keyed.select("key", "text").mapInArrow(run, "key long, fp long, slice int, n binary")
+
+
+def _shingle_counts(signed: DataFrame) -> np.ndarray:
+    """The sums of the tasks' numbers. They only order shingles: a collision costs no pair."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[s] = sums.get(s, 0) + np.frombuffer(n, np.int64)
+                sums[s] = sums.get(s, 0) + np.frombuffer(n, np.uint32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "n"])
 
-    kind = "slice int, n binary"
-    out = np.zeros((COUNT_SLICES, width), np.int64)
-    for s, n in texts.select("text").mapInArrow(count, kind).repartition(COUNT_SLICES, "slice").mapInArrow(add, kind).collect():
+    out = np.zeros((COUNT_SLICES, COUNT_BUCKETS // COUNT_SLICES), np.int64)
+    for s, n in signed.where("slice IS NOT NULL").select("slice", "n").repartition(COUNT_SLICES, "slice").mapInArrow(add, "slice int, n binary").collect():
         out[s] = np.frombuffer(n, np.int64)
     return out.ravel()
 
 
-def _candidate_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs a < b of one shingle's texts that may be similar. Rows (shingle, key, n, pos) come sorted by shingle and
-    key; a group may run over batches, and hold a text once for each task that met it."""
-
-    def may(n1, p1, n2, p2):
-        return (5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)) & (9 * np.minimum(n1 - p1, n2 - p2) >= 4 * (n1 + n2))
-
-    def record(found: list) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))]
-        starts = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-        sizes = np.diff(np.append(starts, len(rows)))
-        key, n, p = rows[:, 1], rows[:, 2], rows[:, 3]
-        found, held = [], 0
-        for size in np.unique(sizes[sizes > 1]):
-            of = starts[sizes == size]
-            for at in of[:, None] if size > SMALL_GROUP else [of]:
-                for i in range(size - 1):
-                    x = (at + i)[:, None]
-                    y = at[:, None] + np.arange(i + 1, size)
-                    g, j = np.nonzero(may(n[x], p[x], n[y], p[y]))
-                    found.append((key[x[g, 0]], key[y[g, j]]))
-                    held += len(g)
-                    if held > 1 << 18:
-                        yield record(found)
-                        found, held = [], 0
-        yield record(found)
-
-    held: list[np.ndarray] = []
-    for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
-        if not len(rows):
-            continue
-        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        if cut:
-            yield from pairs(np.concatenate([*held, rows[:cut]]))
-            held = []
-            rows = rows[cut:]
-        elif held and held[0][0, 0] != rows[0, 0]:
-            yield from pairs(np.concatenate(held))
-            held = []
-        held.append(rows)
-    if held:
-        yield from pairs(np.concatenate(held))
-
-
-def candidates(keyed: DataFrame) -> DataFrame:
-    """a, b (keys, a < b): every pair of texts of keyed (key, text) with Jaccard 0.8 or more, and some others."""
+def _near_in_length(n1: Column, n2: Column) -> Column:
+    return 5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)
+
+
+def _may(x: Column, y: Column) -> Column:
+    """Whether two postings (structs with n, pos) of a shingle may belong to a similar pair that has none before it in common."""
+    room = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
+    return _near_in_length(x["n"], y["n"]) & (9 * room >= 4 * (x["n"] + y["n"]))
+
+
+def postings(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
+    """shingle, key, n, pos: the prefix of each text of keyed (key, text), of shingles that a text of near length posts too."""
     spark = keyed.sparkSession
-    common.ship(spark)
-    counts = spark.sparkContext.broadcast(_shingle_counts(keyed))
+    held = spark.sparkContext.broadcast(counts)  # COUNT_BUCKETS numbers
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -339,7 +323,7 @@ def candidates(keyed: DataFrame) -> DataFrame:
                 seen.add(k)
                 s = shingles(t)
                 n = len(s)
-                first = s[np.lexsort((s, counts.value[_buckets(s)]))][: n - (4 * n + 4) // 5 + 1]
+                first = s[np.lexsort((s, held.value[_buckets(s)]))][: n - (4 * n + 4) // 5 + 1]
                 m = len(first)
                 found.append((first.view(np.int64), np.full(m, k, np.int64), np.full(m, n, np.int32), np.arange(m, dtype=np.int32)))
             if found:
@@ -347,54 +331,96 @@ def candidates(keyed: DataFrame) -> DataFrame:
 
     posts = keyed.select("key", "text").mapInArrow(spread, "shingle long, key long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return posts.repartition(parts, "shingle").sortWithinPartitions("shingle", "key").mapInArrow(_candidate_links, "a long, b long").distinct()
+    posts = posts.repartition(parts, "shingle").dropDuplicates(["shingle", "key"])  # equal texts in several tasks
+    w = Window.partitionBy("shingle").orderBy("n", "key")
+    near = lambda c: F.coalesce(_near_in_length(F.col("n"), c), F.lit(False))
+    company = posts.withColumn("near", near(F.lag("n").over(w)) | near(F.lead("n").over(w)))
+    return company.where("near").drop("near")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (key, text) are similar, as links u, v."""
+def _proposed(signed: DataFrame) -> DataFrame:
+    """a, b (keys): pairs that connect the texts whose fingerprints lie within RADIUS bits, by the anchors."""
+    fps = common.write_table(signed.where("key IS NOT NULL").select("key", "fp").distinct(), "stage_fp")
+    classes = common.write_table(fps.groupBy("fp").agg(F.min("key").alias("first")), "stage_classes")
+    same = fps.join(classes, "fp").where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    side = lambda c, as_: classes.select(F.col("fp").alias(c), F.col("first").alias(as_))
+    return same.union(links(classes).join(side("u", "a"), "u").join(side("v", "b"), "v").select("a", "b"))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
 
-        def get(key: int, text: str) -> np.ndarray:
-            if key not in known:
-                if len(known) >= 256:
-                    known.clear()
-                known[key] = shingles(text)
-            return known[key]
+def _sets(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, s (its shingles, as bytes) for the texts of keyed with these keys, each once."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            new = [k not in seen and not seen.add(k) for k in b.column(0).to_pylist()]
+            yield b.filter(pa.array(new))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["key", "s"])
+
+    few = keyed.select("key", "text").mapInArrow(once, "key long, text string")  # a task sends each text once
+    return few.join(keys, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(cut, "key long, s binary")
+
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, as links u, v."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            a, b, ta, tb = (c.to_pylist() for c in x.columns)
-            hit = [i for i in range(len(a)) if similar(get(a[i], ta[i]), get(b[i], tb[i]))]
+            a, b, sa, sb = (c.to_pylist() for c in x.columns)
+            hit = [i for i in range(len(a)) if similar(np.frombuffer(sa[i], np.uint64), np.frombuffer(sb[i], np.uint64))]
             yield pa.RecordBatch.from_arrays([pa.array([b[i] for i in hit], pa.int64()), pa.array([a[i] for i in hit], pa.int64())], names=["u", "v"])
 
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "u long, v long")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(check, "u long, v long")
 
 
 def similar_components(keyed: DataFrame) -> DataFrame:
-    """node (key), root of every text of keyed (key, text) that is linked to another by Jaccard 0.8 or more.
-
-    A few candidates of each text are verified first; of the others only those whose texts aren't connected by then."""
-    pairs = common.write_table(candidates(keyed), "candidates")
-    involved = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = common.write_table(keyed.select("key", "text").join(involved, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    first = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where(F.col("rn") <= FIRST_CANDIDATES)
-    links = common.write_table(_verified(first.select("a", "b"), texts), "links")
-    roots = components(links)
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
-    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(root_a, a) != coalesce(root_b, b)")
-    return components(links.union(_verified(apart.select("a", "b"), texts)))
+    """node (key), root of every text of keyed (key, text) that is linked to another by Jaccard 0.8 or more."""
+    common.ship(keyed.sparkSession)
+    signed = common.write_table(_signatures(keyed), "signatures")
+    pairs = common.write_table(_proposed(signed), "proposed")
+    posted = common.write_table(postings(keyed, _shingle_counts(signed)), "postings")
+    weight = posted.groupBy("key").agg(F.count("*").alias("w"))
+    shared = common.write_table(posted.join(weight, "key"), "shared")
+    keys = weight.select("key").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = common.write_table(_sets(keyed, keys), "sets")
+    member = F.struct("key", "n", "pos", "root")
+    links, roots = None, None
+    for turn in range(HUB_ROUNDS + 1):
+        rooted = shared.withColumn("root", F.col("key")) if roots is None else shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        # a hub for all: first the text that shares most, then any; its hash is the same in every group that it is in
+        rank = F.col("w") if turn == 0 else F.xxhash64("key", F.lit(turn))
+        apart = rooted.groupBy("shingle").agg(F.max(F.struct(rank.alias("rank"), member.alias("m")))["m"].alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+        mine = rooted.select("shingle", member.alias("x"))
+        if turn < HUB_ROUNDS:
+            other, apart = apart.select("shingle", F.col("hub").alias("y")), F.lit(True)
+        else:
+            mine = mine.join(apart.select("shingle"), "shingle", "left_semi")
+            other, apart = mine.withColumnRenamed("x", "y"), F.col("x.key") < F.col("y.key")
+        met = mine.join(other.withColumnRenamed("shingle", "s"), (F.col("shingle") == F.col("s")) & apart & (F.col("x.root") != F.col("y.root")) & _may(F.col("x"), F.col("y")))
+        met = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+        met = (met if turn else met.union(pairs)).distinct()
+        found = _verified(met, sets)
+        links = common.write_table(found if links is None else links.union(found), "links")
+        roots = common.write_table(components(links), "roots")
+    return roots
 
 
 def _first_rows(docs: DataFrame, classes) -> DataFrame:
-    """One row of docs for each class: the smallest by id (null last), then by text. classes gives node, root for the
-    keys of a table (key, text); a key it leaves out is a class of its own."""
-    keyed = docs.withColumn("__key", text_key(F.col("text")))
-    roots = classes(keyed.select(F.col("__key").alias("key"), F.col("text").cast("string").alias("text")))
-    rows = keyed.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), F.col("__key") == F.col("__node"), "left")
-    order = Window.partitionBy("__class").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    return rows.withColumn("__class", F.coalesce("__root", "__key")).withColumn("__rn", F.row_number().over(order)).where("__rn = 1").select(docs.columns)
+    """One row of docs for each class: the smallest by id (null last), then by text, then by its other columns as JSON.
+    classes gives node, root for the keys of a table (key, text); a key it leaves out is a class of its own."""
+    keyed = docs.select(common.row_of(docs), text_key(F.col("text")).alias("key"))
+    roots = classes(keyed.select("key", F.col("row.text").cast("string").alias("text")))
+    rest = [F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(rest)])) if rest else F.lit("")
+    order = Window.partitionBy("class").orderBy(F.col("row.doc_id").asc_nulls_last(), F.col("row.text"), tie)
+    rows = keyed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key"))
+    return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("row.*")
 
 
 def keep_dissimilar(docs: DataFrame) -> DataFrame:
