@@ -333,7 +333,7 @@ def postings(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     posts = posts.repartition(parts, "shingle").dropDuplicates(["shingle", "key"])  # equal texts in several tasks
     w = Window.partitionBy("shingle").orderBy("n", "key")
-    near = lambda c: F.coalesce(_near_in_length(F.col("n"), c), F.lit(False))
+    near = lambda c: c.isNotNull() & _near_in_length(F.col("n"), c)
     company = posts.withColumn("near", near(F.lag("n").over(w)) | near(F.lead("n").over(w)))
     return company.where("near").drop("near")
 

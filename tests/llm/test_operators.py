@@ -442,6 +442,12 @@ def test_stage_finds_every_pair_at_four_fifths(spark, docs, no_docs):
     assert simhash.keep_dissimilar(docs).columns == docs.columns and simhash.keep_dissimilar(no_docs).count() == 0
 
 
+def test_postings_have_company(spark):
+    keyed = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "p q r s t u v w"), (1, "a b c d e f g"), (4, "a b c d e " + "z " * 90)], "key long, text string").repartition(3)
+    got = simhash.postings(keyed, np.zeros(simhash.COUNT_BUCKETS, np.int64)).collect()
+    assert {r["key"] for r in got} <= {1, 2} and all(n == 2 for n in Counter(r["shingle"] for r in got).values())
+
+
 @pytest.mark.parametrize("keep", ["keep_one", "keep_dissimilar"])
 def test_one_row_of_each_class_whatever_the_ids(spark, keep):
     r = random.Random(11)
