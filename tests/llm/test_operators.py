@@ -80,7 +80,7 @@ ODD = ["don't we'll I'M", "a<|endoftext|>b <|startoftext|>", "İstanbul ΣΑΣ 
 
 
 def test_ids_are_the_librarys():
-    enc, lib = tokens.Encoder(tokens.default_path(), remember=50), library()
+    enc, lib = tokens.Encoder(tokens.default_path()), library()
     for batch in ([t for _, t in ROWS], ODD, ODD[::-1]):
         for t, raw in zip(batch, enc.encode(batch)):
             assert np.frombuffer(raw, enc.dtype).tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
