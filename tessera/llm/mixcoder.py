@@ -43,13 +43,15 @@ _ID_BITS = 24
 _ID = (1 << _ID_BITS) - 1
 _T1, _T2 = 9, 11  # log2 of the slots of each block's tables
 _MARKS = [16, 32, 64, 128, 256, 384, 512, 768, 1024, 1536, 2048, 3072]
+_MIX1, _MIX2, _MIX3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+_SHIFT1, _SHIFT2 = np.uint32(32 - _T1), np.uint32(32 - _T2)
 _LOW32, _ONE, _LAST = np.uint64(1 << 32), np.uint64(1), np.uint64(_T - 1)
 _U32 = np.uint64(32)
 #: By confidence of a prediction that was wrong (16: right): the change of its slot (one more, or half; below 2 it is
 #: replaced) and the weight that its order's share moves to; first of all the weights a block starts with.
 _START = np.array([0, 20000, 36000, 45000, 50000, 54000, 57000, 59000, 60000, 61000, 62000, 62500, 63000, 63500, 64000, 64500])
 _MOVE = np.array([-(k - k // 2) << _ID_BITS for k in range(16)] + [1 << _ID_BITS] * 15 + [0], np.int32)
-_AIM = np.array([0] + [400] * 15 + [65000] * 16)
+_AIM = np.array([0] + [400] * 15 + [65000] * 16, np.int32)
 
 
 class ChecksumError(ValueError):
@@ -72,41 +74,29 @@ class _Model:
         self.prior = _prior(vocab)
         self.vocab = vocab
         self.table = np.zeros((lanes << _T1) + (lanes << _T2), np.int32)  # order 1, then order 2
-        lane = np.arange(lanes, dtype=np.int64)
+        lane = np.arange(lanes, dtype=np.int32)
         self.base = np.stack([lane << _T1, (lane << _T2) + (lanes << _T1)])
-        self.q = np.concatenate([np.tile(_START // 2, 4 * lanes), np.tile(_START, lanes)])
+        self.q = np.concatenate([np.tile(_START // 2, 4 * lanes), np.tile(_START, lanes)]).astype(np.int32)
         self.baseq = np.stack([lane << 6, (lane << 4) + (lanes << 6)])
-        self.p1 = np.zeros(lanes, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
+        self.p1 = np.zeros(lanes, np.uint32)
+        self.p2 = np.zeros(lanes, np.uint32)
         self.n = 0
 
     def mark(self, history: np.ndarray) -> None:
-        """Order 0 from now on: history has a row of n ids for each lane that is still open."""
+        """Order 0 from now on, for the decoder: history has a row of n ids for each lane that is still open. An id's run
+        in the sorted history is found from any place in it by the number of runs that began up to there."""
         m, n = history.shape
-        self.n = n
-        self.sorted = s = np.sort(history, axis=1)
-        at = np.arange(n, dtype=np.int64)
-        first = np.ones((m, n), bool)
-        first[:, 1:] = s[:, 1:] != s[:, :-1]
-        last = np.ones((m, n), bool)
-        last[:, :-1] = first[:, 1:]
-        stop = np.minimum.accumulate(np.where(last, at + 1, n)[:, ::-1], axis=1)[:, ::-1]
-        self.runs = (np.maximum.accumulate(np.where(first, at, 0), axis=1) << 24 | stop << 44 | s).ravel()  # one look finds all three
-        self.new = first.sum(1)  # the weight of an id not seen: distinct ids so far
-        self.total = (self.new + n).astype(np.float64)
-        self.base0 = np.arange(m, dtype=np.int64) * n
-
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and stop of each id's run in order 0; of an id that has none, the room of new ids."""
-        runs = np.zeros(ids.shape, np.int64)
-        if self.n:
-            where = np.full(self.vocab, -1, np.int64)  # one lane's runs by id; small enough to stay in the cache
-            for i, (row, known) in enumerate(zip(ids, self.runs.reshape(-1, self.n))):
-                where[self.sorted[i]] = known
-                runs[i] = where[row]
-                where[self.sorted[i]] = -1
-        ok = runs >= 0
-        return np.where(ok, runs >> 24 & 0xFFFFF, self.n), np.where(ok, runs >> 44, self.n + self.new[: len(ids), None] if self.n else 0)
+        self.sorted = np.sort(history, axis=1)
+        begins = np.ones((m, n), bool)
+        np.not_equal(self.sorted[:, 1:], self.sorted[:, :-1], out=begins[:, 1:])
+        self.run = np.cumsum(begins.ravel(), dtype=np.int32)
+        self.begin = np.append(np.flatnonzero(begins), m * n).astype(np.int32)
+        self.base0 = np.arange(m, dtype=np.int32) * np.int32(n)
+        self.count(n, begins.sum(1))
+
+    def count(self, n: int, new: np.ndarray) -> None:
+        """Order 0 holds n ids, `new` distinct ones: as much weight have ids not seen."""
+        self.n, self.new, self.total = n, new, (new + n).astype(np.float64)
 
     def share(self, lo: np.ndarray, hi: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Their part of order 0's room. Exact: the products stay below 2^36, far from where doubles round a floor."""
@@ -119,18 +109,27 @@ class _Model:
     def predict(self, m: int) -> None:
         """Tables hold id + 1 (0: nothing yet), so an empty slot never names an id, and its confidence 0 has weight 0."""
         p1 = self.p1[:m]
-        i = self.i = np.empty((2, m), np.int64)
-        i[0] = p1 * 0x9E3779B1 >> 11 & (1 << _T1) - 1
-        i[1] = p1 * 0x85EBCA6B + self.p2[:m] * 0xC2B2AE35 >> 13 & (1 << _T2) - 1
-        i += self.base[:, :m]
-        self.e = self.table.take(i)
+        h = np.empty((2, m), np.uint32)
+        np.multiply(p1, _MIX1, out=h[0])
+        h[0] >>= _SHIFT1
+        np.multiply(p1, _MIX2, out=h[1])
+        h[1] += self.p2[:m] * _MIX3
+        h[1] >>= _SHIFT2
+        self.i = np.add(h.view(np.int32), self.base[:, :m], dtype=np.int64)
+        self.e = self.table.take(self.i)
         self.c, self.k = (self.e & _ID) - 1, self.e >> _ID_BITS
-        self.j = self.k + self.baseq[:, :m]
-        self.j[0] += np.minimum(self.k[1], 3) << 4
+        j = self.k + self.baseq[:, :m]
+        j[0] += np.minimum(self.k[1], 3) << 4
+        self.j = j.astype(np.int64)
         self.w = self.q.take(self.j)
         self.c1, self.c2 = self.c
-        self.a2 = self.w[1] * _TOP >> 16
-        self.a1 = (self.w[0] * (_TOP - self.a2) >> 16) * (self.c1 != self.c2)
+        self.a2 = self.w[1].astype(np.int64)
+        self.a2 *= _TOP
+        self.a2 >>= 16
+        self.a1 = _TOP - self.a2
+        self.a1 *= self.w[0]
+        self.a1 >>= 16
+        self.a1 *= self.c1 != self.c2
         self.rest = self.a1 + self.a2
         self.a0 = _T - self.rest
 
@@ -144,12 +143,51 @@ class _Model:
         move += self.w
         self.q[self.j] = move
         new = self.e + _MOVE.take(kind)
-        np.copyto(new, s + (1 + (1 << _ID_BITS)), where=kind < 2, casting="unsafe")
+        np.copyto(new, s + np.int32(1 + (1 << _ID_BITS)), where=kind < 2, casting="unsafe")
         self.table[self.i] = new
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = s
 
 
+def _runs(ids: np.ndarray, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the encoder, which knows the ids to come: by position and lane, first and stop of the id's run in the sorted
+    history at the last mark (equal: it isn't there), and by mark and lane, how many distinct ids that history has.
+
+    In a lane's positions sorted by id, the history's ids before a run are those of its earlier places that lie before
+    the mark; a running count of them at the run's bounds is its first and stop."""
+    lanes, n = ids.shape
+    bits = max(1, (n - 1).bit_length())
+    first, stop = np.zeros((n, lanes), np.uint16), np.zeros((n, lanes), np.uint16)
+    new = np.zeros((len(ends), lanes), np.int64)
+    at = np.arange(n, dtype=np.int32)
+    for a in range(0, lanes, 128):
+        part = ids[a : a + 128]
+        m = len(part)
+        order = np.sort(part.astype(np.int64) << bits | at if bits + int(part.max(initial=0)).bit_length() > 31 else part.astype(np.int32) << bits | at, axis=1)
+        value = order >> bits
+        order &= (1 << bits) - 1
+        begins = np.ones((m, n), bool)
+        np.not_equal(value[:, 1:], value[:, :-1], out=begins[:, 1:])
+        run = np.cumsum(begins.ravel(), dtype=np.int32)
+        begin = np.append(np.flatnonzero(begins), m * n).astype(np.int32)
+        lane = np.arange(m, dtype=np.int32)[:, None]
+        # bounds by position, in a count that has one more place for each lane
+        back = (order + lane * n).ravel()
+        low, high = np.empty(m * n, np.int32), np.empty(m * n, np.int32)
+        low[back], high[back] = begin[run - 1], begin[run]
+        low, high = (low.reshape(m, n) + lane).T, (high.reshape(m, n) + lane).T
+        count = np.zeros((m, n + 1), np.uint16)
+        for k, (t, until) in enumerate(zip([0, *ends], ends)):
+            if t:
+                known = order < t
+                np.cumsum(known, axis=1, dtype=np.uint16, out=count[:, 1:])
+                new[k, a : a + m] = np.count_nonzero(known & begins, axis=1)
+                flat = count.ravel()
+                first[t:until, a : a + m] = flat[low[t:until]]
+                stop[t:until, a : a + m] = flat[high[t:until]]
+    return first, stop, new
+
+
 def _steps(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Position and number of open lanes, for falling sizes."""
     m = len(sizes)
@@ -178,8 +216,8 @@ def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     def put(at: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray) -> None:
         r = rng[at] >> np.uint64(_BITS)
         old = low[at]
-        new = old + r * cum.astype(np.uint64)
-        width = r * freq.astype(np.uint64)
+        new = old + r * cum.view(np.uint64)
+        width = r * freq.view(np.uint64)
         carry = np.flatnonzero(new < old)
         if len(carry):
             lane = carry if isinstance(at, slice) else at[carry]
@@ -197,21 +235,22 @@ def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
             width[small] <<= _U32
         low[at], rng[at] = new, width
 
-    marks, base = set(_MARKS), 0
     ends = sorted({x for x in _MARKS if x < longest} | {longest})
-    first, stop = model.find(ids[:, : ends[0]])
+    first, stop, new = _runs(ids, ends)
+    marks = {x: k for k, x in enumerate(ends[:-1], 1)}
+    ids = np.ascontiguousarray(ids.T)
     for t, m in _steps(sizes):
-        if t in marks and t:
-            model.mark(ids[:m, :t])
-            base = t
-            first, stop = model.find(ids[:m, t : next(x for x in ends if x > t)])
+        if t in marks:
+            model.count(t, new[marks[t], :m])
         model.predict(m)
-        s = ids[:m, t]
+        s = ids[t, :m]
         in2 = s == model.c2
         in1 = (s == model.c1) & (model.a1 > 0)
         if model.n:
-            lo, hi = first[:m, t - base], stop[:m, t - base]
-            fresh = lo == model.n
+            lo, hi = first[t, :m].astype(np.int64), stop[t, :m].astype(np.int64)
+            fresh = lo == hi
+            lo[fresh] = model.n
+            hi[fresh] = model.n + model.new[:m][fresh]
             x, y = model.share(lo, hi, m)
         else:
             fresh, x, y = np.ones(m, bool), 0, model.a0
@@ -255,8 +294,8 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int], vocab: int) -> list[n
     ids = np.zeros((lanes, longest), np.int32)
 
     def take(at: np.ndarray | slice, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        left = off[at] - r * cum.astype(np.uint64)
-        new = r * freq.astype(np.uint64)
+        left = off[at] - r * cum.view(np.uint64)
+        new = r * freq.view(np.uint64)
         small = np.flatnonzero(new < _LOW32)
         if len(small):
             lane = small if isinstance(at, slice) else at[small]
@@ -285,13 +324,15 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int], vocab: int) -> list[n
             u = np.maximum(v - model.rest, 0)
             j = (((u + 1) * model.total[:m] - 1) / model.a0).astype(np.int64)
             fresh = j >= model.n
-            runs = model.runs.take(model.base0[:m] + np.minimum(j, model.n - 1))
-            s0 = runs & _ID
-            lo = np.where(fresh, model.n, runs >> 24 & 0xFFFFF)
-            hi = np.where(fresh, model.n + model.new[:m], runs >> 44)
+            base = model.base0[:m]
+            at = base + np.minimum(j, model.n - 1)
+            run, s0 = model.run.take(at), model.sorted.take(at)
+            lo, hi = model.begin.take(run - 1) - base, model.begin.take(run) - base
+            lo[fresh] = model.n
+            hi[fresh] = (model.n + model.new[:m])[fresh]
             x, y = model.share(lo, hi, m)
         else:
-            fresh, s0, x, y = np.ones(m, bool), np.zeros(m, np.int64), 0, model.a0
+            fresh, s0, x, y = np.ones(m, bool), np.zeros(m, np.int32), 0, model.a0
         cum, freq = model.rest + x, y - x
         h1, h2 = np.flatnonzero(in1), np.flatnonzero(in2)
         cum[h1], freq[h1] = model.a2[h1], model.a1[h1]
@@ -365,7 +406,7 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
 
         def flush() -> pa.RecordBatch:
             nonlocal segments, ready, start, number
-            payloads = write_segments([np.frombuffer(b"".join(raw), enc.dtype) for _, _, raw in segments], enc.size)
+            payloads = write_segments([np.concatenate(parts) for _, _, parts in segments], enc.size)
             sums = [sum(n) for _, n, _ in segments]
             starts = (start + np.cumsum([0, *sums])).tolist()
             k = len(segments)
@@ -384,21 +425,23 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
             segments, ready, start, number = [], 0, starts[-1], number + k
             return batch
 
-        end = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
-            for d, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                n = len(raw) // enc.dtype.itemsize + 1
-                if not segments or sum_open + n > SEGMENT_TOKENS:
-                    if ready >= FLUSH_TOKENS:
-                        yield flush()
-                    segments.append(([], [], []))
-                    sum_open = 0
-                ids, counts, raws = segments[-1]
-                ids.append(d)
-                counts.append(n)
-                raws += (raw, end)
-                sum_open += n
-                ready += n
+        end = np.array([end_id], enc.dtype)
+        for b in tokens.grouped(batches):
+            doc_ids = b.column(0).to_pylist()
+            for first, found, cuts in enc.encode_array(b.column(1)):
+                for d, x, y in zip(doc_ids[first:], cuts[:-1].tolist(), cuts[1:].tolist()):
+                    n = y - x + 1
+                    if not segments or sum_open + n > SEGMENT_TOKENS:
+                        if ready >= FLUSH_TOKENS:
+                            yield flush()
+                        segments.append(([], [], []))
+                        sum_open = 0
+                    ids, counts, parts = segments[-1]
+                    ids.append(d)
+                    counts.append(n)
+                    parts += (found[x:y], end)
+                    sum_open += n
+                    ready += n
         if segments:
             yield flush()
 

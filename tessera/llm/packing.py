@@ -78,13 +78,15 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
-        for b in batches:
+        for b in tokens.grouped(batches):
             rows: list[tuple] = []
-            for d, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                wide = np.append(np.frombuffer(raw, enc.dtype), end_id).astype("<u4").tobytes()
-                for k, at in enumerate(range(0, len(wide), 4 * capacity)):
-                    part = wide[at : at + 4 * capacity]
-                    rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if ids else ())))
+            doc_ids = b.column(0).to_pylist()
+            for first, found, cuts in enc.encode_array(b.column(1)):
+                for d, x, y in zip(doc_ids[first:], cuts[:-1].tolist(), cuts[1:].tolist()):
+                    wide = np.append(found[x:y], end_id).astype("<u4").tobytes()
+                    for k, at in enumerate(range(0, len(wide), 4 * capacity)):
+                        part = wide[at : at + 4 * capacity]
+                        rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if ids else ())))
             cols = list(zip(*rows)) if rows else [()] * (5 + ids)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)]

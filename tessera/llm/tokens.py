@@ -267,6 +267,24 @@ def _letters(level) -> dict[int, str]:
     return out
 
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about AT_ONCE bytes: more words are met again in one."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def all_held() -> Iterator[pa.RecordBatch]:
+        return iter(pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    for b in batches:
+        if held and size + b.nbytes > AT_ONCE:
+            yield from all_held()
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield from all_held()
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -86,6 +86,17 @@ def test_ids_are_the_librarys():
             assert np.frombuffer(raw, enc.dtype).tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_ids_of_any_words_are_the_librarys():
+    r = random.Random(21)
+    enc, lib = tokens.Encoder(tokens.default_path()), library()
+    letters = "abcdefgehinstABCXYZéÉßñøØŒœǅİıſªµ" + "".join(map(chr, range(0x100, 0x260, 7)))
+    other = "!?.,;:<|>()'\"-0123456789 \n\tΣσ日🙂\u0301"
+    words = ["".join(r.choice(letters if r.random() < 0.9 else other) for _ in range(r.randint(0, 14))) + r.choice(["", "", ".", "!?", "...", ",\n"]) for _ in range(20_000)]
+    batch = [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)] + ["a" * 31, "a" * 32 + ".", "é" * 15, "é" * 16, "x" + "!" * 40, " ", "  a  b "]
+    for t, raw in zip(batch, enc.encode(batch)):
+        assert np.frombuffer(raw, enc.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_coder_round_trips():
     rng = np.random.default_rng(0)
     parts = [rng.integers(0, 49_408, n) for n in (0, 1, 2, 17, 4096, 4097, 9000)] + [np.zeros(9000, int), rng.integers(0, 3, 5000), np.tile(np.arange(50), 300), np.arange(49_000)]
