@@ -72,7 +72,8 @@ class _Model:
     def __init__(self, lanes: int, vocab: int):
         self.lanes = lanes
         self.prior = _prior(vocab)
-        self.vocab = vocab
+        self.half = 16 if vocab <= 1 << 16 else 32
+        self.wide = np.uint32 if self.half == 16 else np.uint64
         self.table = np.zeros((lanes << _T1) + (lanes << _T2), np.int32)  # order 1, then order 2
         lane = np.arange(lanes, dtype=np.int32)
         self.base = np.stack([lane << _T1, (lane << _T2) + (lanes << _T1)])
@@ -86,13 +87,17 @@ class _Model:
         """Order 0 from now on, for the decoder: history has a row of n ids for each lane that is still open. An id's run
         in the sorted history is found from any place in it by the number of runs that began up to there."""
         m, n = history.shape
-        self.sorted = np.sort(history, axis=1)
+        ids = np.sort(history, axis=1)
         begins = np.ones((m, n), bool)
-        np.not_equal(self.sorted[:, 1:], self.sorted[:, :-1], out=begins[:, 1:])
-        self.run = np.cumsum(begins.ravel(), dtype=np.int32)
+        np.not_equal(ids[:, 1:], ids[:, :-1], out=begins[:, 1:])
+        self.seen = np.cumsum(begins, axis=1, dtype=self.wide)  # the run's number in its lane, above the id: one look finds both
+        new = self.seen[:, -1].astype(np.int64)
+        self.seen <<= self.half
+        self.seen |= ids
         self.begin = np.append(np.flatnonzero(begins), m * n).astype(np.int32)
-        self.base0 = np.arange(m, dtype=np.int32) * np.int32(n)
-        self.count(n, begins.sum(1))
+        self.base0 = np.arange(m, dtype=np.int64) * n
+        self.before = np.cumsum(new) - new - 1
+        self.count(n, new)
 
     def count(self, n: int, new: np.ndarray) -> None:
         """Order 0 holds n ids, `new` distinct ones: as much weight have ids not seen."""
@@ -291,7 +296,9 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int], vocab: int) -> list[n
     off = (words[:, 0].astype(np.uint64) << _U32) | words[:, 1]
     rng = np.full(lanes, 2**64 - 1, np.uint64)
     model = _Model(lanes, vocab)
-    ids = np.zeros((lanes, longest), np.int32)
+    ids = np.zeros((lanes, longest), np.uint16 if model.half == 16 else np.uint32)
+    # an id near a place in the prior's cumulative weights, from which few steps lead to the right one
+    near = np.searchsorted(model.prior, np.arange(0, _T, 16), side="right") - 1
 
     def take(at: np.ndarray | slice, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
         left = off[at] - r * cum.view(np.uint64)
@@ -326,8 +333,10 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int], vocab: int) -> list[n
             fresh = j >= model.n
             base = model.base0[:m]
             at = base + np.minimum(j, model.n - 1)
-            run, s0 = model.run.take(at), model.sorted.take(at)
-            lo, hi = model.begin.take(run - 1) - base, model.begin.take(run) - base
+            seen = model.seen.take(at)
+            s0 = (seen & model.wide((1 << model.half) - 1)).astype(np.int32)
+            run = (seen >> model.wide(model.half)).astype(np.int64) + model.before[:m]
+            lo, hi = model.begin.take(run) - base, model.begin.take(run + 1) - base
             lo[fresh] = model.n
             hi[fresh] = (model.n + model.new[:m])[fresh]
             x, y = model.share(lo, hi, m)
@@ -344,7 +353,9 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int], vocab: int) -> list[n
         esc = np.flatnonzero(fresh)
         if len(esc):
             r, v = value(esc)
-            e = np.searchsorted(model.prior, v, side="right") - 1
+            e = near.take(v >> 4)
+            while (more := model.prior.take(e + 1) <= v).any():
+                e += more
             take(esc, r, model.prior[e], model.prior[e + 1] - model.prior[e])
             s[esc] = e
         ids[:m, t] = s

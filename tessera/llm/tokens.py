@@ -143,8 +143,10 @@ _KIND, _LOW = _lower_table()
 
 def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (n[0] of them), then those of first[1], and so on."""
-    out = np.repeat(first - (np.cumsum(n) - n), n)
-    out += np.arange(len(out))
+    stop = np.cumsum(n)
+    kind = np.int32 if len(n) == 0 or stop[-1] + first.max() < 1 << 31 else np.int64
+    out = np.repeat((first - (stop - n)).astype(kind), n)
+    out += np.arange(len(out), dtype=kind)
     return out
 
 
