@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,13 +21,14 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a Spark application, and bound the bytes of an Arrow batch.
+    """Give the executors this package, once a Spark application, and bound an Arrow batch where the session doesn't.
 
     Workers started elsewhere (another working folder, another machine) need no PYTHONPATH then.
     """
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own: with texts, batches of a fifth keep Python workers small
+        spark.conf.set(key, "2000")
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -43,11 +45,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) below this machine's /tmp."""
+    """A new folder below spark.checkpoint.dir. Only a session of one machine may leave that unset (then below /tmp)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: working tables need a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
@@ -83,6 +86,12 @@ def _clean() -> None:
             return
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete working tables that nothing reads any more."""
+    for t in tables:
+        drop_table(t)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

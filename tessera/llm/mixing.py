@@ -10,8 +10,9 @@ A leaf may hold any share of all rows: prefix sums are taken over 4096 slices of
 which the budget ends is ordered row by row. All arithmetic is in whole numbers.
 
 Defined results: a null domain, language or source is a node of its own (named ""); documents without words are never
-chosen; rows with equal ids are chosen each for itself; with an empty table the result is empty; other columns are
-carried (select) or ignored (the query).
+chosen; rows with equal ids are chosen each for itself, and where an epoch ends among rows of equal id and length, those
+whose columns come first as JSON; with an empty table the result is empty; other columns are carried (select, mix) or
+ignored (the query).
 """
 
 from __future__ import annotations
@@ -83,16 +84,14 @@ def budgets(supply: DataFrame, total: int, weights: dict[str, dict[str, int]], e
     return supply.join(given.withColumnRenamed("budget", "given"), list(LEVELS))
 
 
-def select(docs: DataFrame, weights: dict = WEIGHTS, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None, carry_text: bool = True) -> DataFrame:
-    """The chosen rows of docs, once for each epoch that has them, with four more columns: __mix_domain,
-    __mix_tokens, __mix_epoch, and __mix_id (the text of the id). The text is left out unless carry_text."""
+def _chosen(docs: DataFrame, weights: dict, share_percent: int, epochs: int, seed: int, domain: Column | None, carry_text: bool) -> DataFrame:
+    """row (a struct of docs' columns) and the four columns of select()."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    base = docs.withColumns({
-        f"{_P}domain": domain_of(F.col("source")) if domain is None else domain,
-        f"{_P}lang": name("lang"), f"{_P}source": name("source"), f"{_P}id": name("doc_id"), f"{_P}tokens": n_tokens(F.col("text")),
-    }).where(F.col(f"{_P}tokens") > 0)
-    if not carry_text:
-        base = base.drop("text")
+    carried = [c for c in docs.columns if carry_text or c != "text"]
+    base = docs.select(
+        F.struct(*[common.named(c).alias(c) for c in carried]).alias("row"), (domain_of(F.col("source")) if domain is None else domain).alias(f"{_P}domain"),
+        name("lang").alias(f"{_P}lang"), name("source").alias(f"{_P}source"), name("doc_id").alias(f"{_P}id"), n_tokens(F.col("text")).alias(f"{_P}tokens"),
+    ).where(F.col(f"{_P}tokens") > 0)
     base = common.write_table(base, "mixing")
     supply = common.write_table(base.groupBy(*[F.col(f"{_P}{k}").alias(k) for k in LEVELS]).agg(F.sum(f"{_P}tokens").alias("supply")), "supply")
     size = supply.agg(F.count("*").alias("n"), F.coalesce(F.sum("supply"), F.lit(0)).alias("t")).first()
@@ -115,15 +114,23 @@ def select(docs: DataFrame, weights: dict = WEIGHTS, share_percent: int = SHARE_
     last = sums.groupBy(*keys).agg(F.min(f"{_P}slice").alias(f"{_P}last"), F.min(F.struct(f"{_P}slice", (F.col("upto") - F.col("n")).alias("b")))["b"].alias(f"{_P}before"))
     part = part.join(near(last), keys, "left")
     inside = part.where(f"{_P}last IS NULL OR {_P}slice < {_P}last")
-    w = Window.partitionBy(*keys).orderBy(f"{_P}order", f"{_P}tokens").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(f"{_P}order", f"{_P}tokens", F.to_json("row")).rowsBetween(Window.unboundedPreceding, 0)
     edge = part.where(f"{_P}slice = {_P}last").withColumn(f"{_P}run", F.sum(f"{_P}tokens").over(w)).where(f"{_P}before + {_P}run <= {_P}left")
-    kept = [c for c in base.columns if not c.startswith(_P)] + [f"{_P}domain", f"{_P}tokens", f"{_P}epoch", f"{_P}id"]
+    kept = ["row", f"{_P}domain", f"{_P}tokens", f"{_P}epoch", f"{_P}id"]
     return whole.select(kept).union(inside.select(kept)).union(edge.select(kept))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """select() with the columns of docs alone."""
-    return select(docs, **options).select(docs.columns)
+def select(docs: DataFrame, weights: dict = WEIGHTS, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None, carry_text: bool = True) -> DataFrame:
+    """The chosen rows of docs, once for each epoch that has them, with four more columns: __mix_domain,
+    __mix_tokens, __mix_epoch, and __mix_id (the text of the id); columns of docs that have these names are left out, and
+    the text unless carry_text."""
+    own = [f"{_P}domain", f"{_P}tokens", f"{_P}epoch", f"{_P}id"]
+    return _chosen(docs.drop(*own), weights, share_percent, epochs, seed, domain, carry_text).select("row.*", *own)
+
+
+def mix(docs: DataFrame, weights: dict = WEIGHTS, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
+    """The chosen rows of docs with their own columns alone, whatever their names."""
+    return _chosen(docs, weights, share_percent, epochs, seed, domain, True).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

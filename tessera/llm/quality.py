@@ -5,8 +5,8 @@ DataFrame functions only. One pass over the whole texts yields base counts and v
 3 to the number of rules, whatever the input) are counted, and the model is fitted on those counts.
 
 Defined results: a null text counts as empty (no words: base_failed); ties of the posterior (exactly 0.5) are kept;
-rows with equal ids are judged each for itself; an empty table gives an empty result; other columns are carried or
-ignored and may have any name.
+rows with equal ids are judged each for itself; an empty table gives an empty result; other columns are carried by
+keep_good whatever their names (judged leaves out those it names itself).
 """
 
 from __future__ import annotations
@@ -141,30 +141,38 @@ def fit(patterns: DataFrame, names: list[str]) -> Model:
     return model
 
 
-def judged(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """docs (of its columns those to carry, else all) with a struct column __q (counts), base_failed in __failed, quality posterior in __p, verdict in __kept."""
+def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """row (a struct of the columns to carry), __q (counts), __failed (base_failed), __p (quality posterior), __kept."""
     vote = votes()
-    measured = measure(docs).select(*(docs.columns if carry is None else carry), "__q", F.struct(*[v.alias(k) for k, v in vote.items()]).alias("__v"))
+    rows = docs.select(F.struct(*[common.named(c).alias(c) for c in carry]).alias("row"), F.col("text"))
+    measured = measure(rows).select("row", "__q", F.struct(*[v.alias(k) for k, v in vote.items()]).alias("__v"))
     m = common.write_table(measured, "quality")  # read twice: measuring costs more than the disk
     stored = {k: F.col(f"__v.{k}") for k in vote}
     has_words = m.where("__q.n_words > 0")
-    patterns = has_words.groupBy(*[v.alias(k) for k, v in stored.items()]).agg(F.count("*").alias("n"))
-    model = fit(common.write_table(patterns.coalesce(1), "patterns"), list(vote))
+    patterns = common.write_table(has_words.groupBy(*[v.alias(k) for k, v in stored.items()]).agg(F.count("*").alias("n")).coalesce(1), "patterns")
+    model = fit(patterns, list(vote))
+    common.drop_tables(patterns)
     q = lambda k: F.col(f"__q.{k}")
     failed = (q("n_words") < LEAST_WORDS) | (q("n_repeat_words") * 100 > q("n_words") * 20)
     m = m.withColumn("__failed", failed).withColumn("__p", model.posterior(stored))
     return m.withColumn("__kept", ~F.col("__failed") & (F.col("__p") >= 0.5))
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """docs with a struct column __q (counts), base_failed in __failed, quality posterior in __p, verdict in __kept."""
+    own = ["__q", "__failed", "__p", "__kept"]
+    return _judged(docs, [c for c in docs.columns if c not in own]).select("row.*", *own)
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    return judged(docs).where("__kept").select(docs.columns)
+    return _judged(docs, docs.columns).where("__kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = judged(common.read_table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
+    j = _judged(common.read_table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
     return j.select(
-        "doc_id",
+        "row.doc_id",
         *[F.col(f"__q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.col("__failed").alias("base_failed"),
         F.col("__kept").alias("kept"),

@@ -408,6 +408,7 @@ def similar_components(keyed: DataFrame) -> DataFrame:
         found = _verified(met, sets)
         links = common.write_table(found if links is None else links.union(found), "links")
         roots = common.write_table(components(links), "roots")
+    common.drop_tables(signed, pairs, posted, shared, sets, links)
     return roots
 
 

@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -221,29 +222,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     return Scorer(features, *train_linear(rows.column("x").to_pylist(), posterior, len(number)))
 
 
-def scores(docs: DataFrame, scorer: Scorer | None, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; with carry, instead those columns of docs and __score."""
+def _scored(docs: DataFrame, scorer: Scorer | None, row: Column) -> DataFrame:
+    """row (a struct of docs' columns), score of every row. A text that row holds isn't sent twice."""
+    rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
+    inside = "text" in rows.schema["row"].dataType.names and rows.schema["row"].dataType["text"].dataType.simpleString() == "string"
+    rows = rows.drop("text") if inside else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.array([scorer.score(t) if scorer else 0.0 for t in b.column(b.num_columns - 1).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=[*b.schema.names[:-1], "__score"])
+            texts = b.column(0).field("text") if inside else b.column(1)
+            s = np.array([scorer.score(t) if scorer else 0.0 for t in texts.to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["row", "score"])
 
     common.ship(docs.sparkSession)
-    keep = docs.select(*carry) if carry is not None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + ", __score double"
-    rows = docs.select(*[docs[c] for c in carry], F.col("text").cast("string").alias("__text")) if carry is not None else docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (common.fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("__text")
-    )
-    out = rows.mapInArrow(run, schema)
-    if carry is not None:
-        return out
-    return out.select("doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def scores(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
+    keys = F.struct(F.col("doc_id").cast("long").alias("doc_id"), (common.fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
+    return _scored(docs, scorer, keys).select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below 0.5, with their own columns."""
-    return scores(docs, fit(docs, labels), docs.columns).where("__score < 0.5").drop("__score")
+    return _scored(docs, fit(docs, labels), common.row_of(docs)).where("score < 0.5").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
