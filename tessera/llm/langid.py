@@ -23,7 +23,9 @@ from . import common
 
 FOLDS, HELD_OUT = 5, 0
 WINDOW = 192
-TRAIN_TEXTS, WINDOWS_EACH = 6000, 4
+#: Labelled texts and windows of each that training takes; windows in all (smallest hashes; only tables that repeat ids
+#: have more).
+TRAIN_TEXTS, WINDOWS_EACH, TRAIN_WINDOWS = 6000, 4, 96_000
 EMBED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
 BATCHES, BATCH, RATE = 900, 64, 0.004
 UNKNOWN = "und"
@@ -129,7 +131,7 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     known = docs.where((common.fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     ids = known.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_TEXTS)
     few = known.join(F.broadcast(ids), "doc_id", "left_semi")  # TRAIN_TEXTS ids of 8 bytes
-    rows = few.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "w binary, lang string").orderBy("lang", "w").limit(4 * TRAIN_TEXTS * WINDOWS_EACH).toArrow()
+    rows = few.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "w binary, lang string").orderBy(F.xxhash64("w"), "w", "lang").limit(TRAIN_WINDOWS).toArrow()
     w = np.frombuffer(b"".join(rows.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW)
     return w, rows.column("lang").to_pylist()
 

@@ -8,8 +8,9 @@ alone, and their correlations given the class, by which voters that repeat each
 labels train a linear classifier over the lexicon entries a text holds, which scores every whole text.
 
 Defined results: a null or empty text has the score of a text without entries; a document labelled both ways counts as
-toxic; without toxic training rows every score is 0; rows with equal ids are scored each for itself; an empty table
-gives an empty result; other columns are ignored.
+toxic; without toxic training rows every score is 0; without mined entries the fixed lexicon is all that texts are scored
+by; rows with equal ids are scored each for itself; an empty table gives an empty result; other columns are ignored, and
+carried by keep_clean, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,15 +28,16 @@ from pyspark.sql import types as T
 from . import common
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled training documents used at most, of either class (smallest hashes of their ids); entries kept of each kind
-#: and half; times commoner in toxic texts that an entry must be.
-TRAIN_TEXTS, ENTRIES, ODDS = 12_000, 4000, 20.0
-KINDS = {"word": lambda w: w, "begin4": lambda w: w[:4], "begin5": lambda w: w[:5], "begin6": lambda w: w[:6], "end5": lambda w: "$" + w[-5:]}
-_LEAST = {"word": 1, "begin4": 5, "begin5": 6, "begin6": 7, "end5": 6}
+#: Labelled training documents used at most, half of them of either class (smallest hashes of their ids), and rows of
+#: them (smallest hashes of id and text; only tables that repeat ids have more); entries kept of each kind and half, those
+#: in most toxic texts; times commoner in toxic texts that an entry must be.
+TRAIN_TEXTS, TRAIN_ROWS, ENTRIES, ODDS = 12_000, 48_000, 4000, 20.0
+KINDS = {"word": lambda w: w, "begin4": lambda w: w[:4], "begin5": lambda w: w[:5], "begin6": lambda w: w[:6], "begin8": lambda w: w[:8], "begin9": lambda w: w[:9], "end5": lambda w: "$" + w[-5:]}
+_LEAST = {"word": 1, "begin4": 5, "begin5": 6, "begin6": 7, "begin8": 9, "begin9": 10, "end5": 6}
 SEED_LEXICON = frozenset("idiot idiots moron morons stupid scum loser losers pathetic worthless disgusting dumb trash clown filth imbecile retard bastard jerk".split())
 _MASKED = re.compile(r"\b[a-zA-Z]+[*@#$]{2,}[a-zA-Z]+\b")
 REMEMBER = 600_000
-ROUNDS, L2, EPOCHS = 30, 1e-4, 40
+ROUNDS, L2, EPOCHS = 30, 2e-5, 120
 
 
 def words_of(text: str | None) -> set[str]:
@@ -133,8 +135,9 @@ def votes(text: str | None, found: list[int], label: int, lexicons: list[frozens
     return out
 
 
-def label_model(v: np.ndarray) -> np.ndarray:
-    """Posterior probability of toxic for rows of votes (1, 0, -1).
+def label_model(v: np.ndarray, first: int | None = None) -> np.ndarray:
+    """Posterior probability of toxic for rows of votes (1, 0, -1). EM starts from the votes of the voter `first`, if one
+    is named (it has nothing in common with the others' making and keeps its whole weight), else from all.
 
     EM over class-conditional vote tables; a voter's evidence is divided by one plus its correlations, given the class,
     with the others, so that copies of one voter count about once.
@@ -144,7 +147,7 @@ def label_model(v: np.ndarray) -> np.ndarray:
     sd = v.std(0) + 1e-9
     alike = np.abs((v - v.mean(0)).T @ (v - v.mean(0)) / n / sd[:, None] / sd[None])
     w = 1 / alike.sum(1).clip(1)
-    p = 1 / (1 + np.exp(1 - 2.0 * v.shape[1] * (v @ w) / w.sum()))
+    p = 1 / (1 + np.exp(1 - 2.0 * v.shape[1] * (v @ w) / w.sum())) if first is None else 0.5 + 0.4 * v[:, first]
     for _ in range(ROUNDS):
         q = np.stack([1 - p, p])
         prior = (q.sum(1) + 1) / (n + 2)
@@ -153,6 +156,8 @@ def label_model(v: np.ndarray) -> np.ndarray:
         sd = np.sqrt((rest**2).mean(0)) + 1e-9
         correlation = np.abs(rest.T @ rest / n / sd[:, None] / sd[None])
         weight = 1 / correlation.sum(1).clip(1)
+        if first is not None:
+            weight[first] = 1
         odds = np.log(given[:, 1]) - np.log(given[:, 0])  # vote, voter
         z = np.log(prior[1] / prior[0]) + (weight * np.where(v == 1, odds[2], np.where(v == -1, odds[0], odds[1]))).sum(1)
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -197,6 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     """The classifier, or None without toxic training rows."""
     common.ship(docs.sparkSession)
     sample = common.write_table(training(docs, labels), "sample")
+    if not sample.where("toxic = 1").limit(1).count():
+        return None
     mined = _mine(sample)
     number: dict[tuple[str, str], int] = {}
     lexicon: dict[tuple[int, str], set[int]] = {}
@@ -206,8 +213,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     for w in sorted(SEED_LEXICON):
         number.setdefault(("word", w), len(number))
     lexicons = [frozenset(x) for _, x in sorted(lexicon.items())]
-    if not lexicons:
-        return None
     features = Features(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
             texts = b.column(1).to_pylist()
             found = [features.of(t) for t in texts]
             given = [votes(t, f, y, lexicons) for t, f, y in zip(texts, found, b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(given, pa.list_(pa.int8()))], names=["doc_id", "x", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(given, pa.list_(pa.int8()))], names=["h", "x", "v"])
 
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, x array<int>, v array<tinyint>").orderBy("doc_id").limit(4 * TRAIN_TEXTS).toArrow()
-    posterior = label_model(np.array(rows.column("v").to_pylist(), float))
+    rows = sample.select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic").mapInArrow(run, "h long, x array<int>, v array<tinyint>").orderBy("h").limit(TRAIN_ROWS).toArrow()
+    posterior = label_model(np.array(rows.column("v").to_pylist(), float), 0)
     return Scorer(features, *train_linear(rows.column("x").to_pylist(), posterior, len(number)))
 
 

@@ -3,9 +3,11 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+#: Names that operators give columns of their own.
+CLASHES = ["part", "fp", "keys", "score", "length", "row", "key", "class", "rn", "root", "__t", "__w", "__l", "__q", "__v", "__p", "__failed", "__kept", "__score", "__text", "__key", "__mix_x", "__mix_tokens", "__mix_id"]
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
-    T.StructField("part", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("keys", T.StringType()), T.StructField("score", T.StringType()), T.StructField("length", T.StringType()),
+    *[T.StructField(c, T.StringType()) for c in CLASHES],
 ])
 
 
@@ -24,7 +26,7 @@ def texts() -> list[tuple[int | None, str | None]]:
 def docs(spark):
     """Nulls, blanks, very long texts, repeated rows and columns whose names clash with those the operators make."""
     langs, sources = ["en", "de", None], ["src0", "src0", "src1", None, "odd"]
-    rows = [(d, t, langs[i % 3], sources[i % 5], len(t or ""), "p", "f", "k", "s", "l") for i, (d, t) in enumerate(texts())]
+    rows = [(d, t, langs[i % 3], sources[i % 5], len(t or ""), *CLASHES) for i, (d, t) in enumerate(texts())]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

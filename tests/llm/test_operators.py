@@ -187,10 +187,38 @@ def test_quality_base(docs, no_docs):
     assert got == Counter((d, *base_counts(t)) for d, t in ROWS)
     assert not out.where("__failed AND __kept").count() and out.where("__p < 0 OR __p > 1 OR __p IS NULL").count() == 0
     kept = quality.keep_good(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and multiset(kept) <= multiset(docs) and kept.count() == out.where("__kept").count()
     assert quality.judged(no_docs).count() == 0
 
 
+def test_quality_verdict_is_the_posteriors(docs):
+    """The kept column from the votes of whole texts, by the formula of a fitted model."""
+    rows = [r.asDict(recursive=True) for r in quality._judged(docs, ["doc_id"]).collect()]
+    names = list(quality.rules())
+    p = [0.0] * len(rows)
+    voted = [i for i, r in enumerate(rows) if r["__q"]["n_words"]]
+    for i in voted:
+        p[i] = 1 / (1 + math.exp(4 * sum(rows[i]["__v"][k] == quality.BAD for k in names) - 2))
+    prior = last = None
+    for _ in range(quality.ROUNDS):
+        g = sum(p[i] for i in voted)
+        prior = (g + 1) / (len(voted) + 2)
+        odds = {}
+        for k in names:
+            for x in (quality.BAD, 0, quality.GOOD):
+                hit = [i for i in voted if rows[i]["__v"][k] == x]
+                hg = sum(p[i] for i in hit)
+                odds[k, x] = math.log((hg + 1) / (g + 3) / ((max(len(hit) - hg, 0) + 1) / (len(voted) - g + 3)))
+        if last is not None and abs(prior - last) < quality.SETTLED:
+            break
+        last = prior
+        for i in voted:
+            p[i] = 1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(odds[k, rows[i]["__v"][k]] for k in names)))
+    for r in rows:
+        want = 1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(odds[k, r["__v"][k]] for k in names)))
+        assert abs(r["__p"] - want) < 1e-6 and r["__kept"] == (not r["__failed"] and r["__p"] >= 0.5)
+
+
 def test_label_model_finds_the_better_rules(spark):
     r = random.Random(3)
     rows = Counter()
@@ -275,6 +303,52 @@ def test_toxicity_edges(spark, docs, no_docs):
     assert clean.columns == ["doc_id", "text", "score"] and 600 < clean.count() < 900
     assert toxicity.scores(no_docs, scorer).count() == 0
     assert toxicity.fit(docs, labels.where("false")) is None and toxicity.scores(docs, None).where("score != 0").count() == 0
+    assert toxicity.fit(no_docs, labels) is None
+    carried = toxicity.keep_clean(docs, labels)
+    assert carried.columns == docs.columns and multiset(carried) <= multiset(docs) and carried.count() > 30
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 0
+    assert all(r["held_out"] == held(r["doc_id"]) for r in out.collect())
+
+
+def test_toxicity_knows_seeds_without_mined_entries(spark):
+    rows = [(i, f"plain words number {i} and so on " + ("you stupid idiot" if i in (3, 9) else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in (3, 9))) for i in range(40)], "doc_id long, toxic int")
+    assert any(zlib.crc32(str(i).encode()) % 5 for i in (3, 9))
+    out = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, toxicity.fit(docs, labels)).collect()}
+    assert min(out[3], out[9]) > max(v for k, v in out.items() if k not in (3, 9))
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Held-out scores again from the fitted weights, entry by entry over whole texts."""
+    docs, labels = insulting(spark, 400)
+    scorer = toxicity.fit(docs, labels)
+    for r in toxicity.scores(docs, scorer).join(docs, "doc_id").where("held_out").collect():
+        held = {(k, f(w)) for w in {x.strip(toxicity._EDGE).lower() for x in r["text"].split()} for k, f in toxicity.KINDS.items() if len(w) >= toxicity._LEAST[k]}
+        z = scorer.b + sum(scorer.w[n] for e, n in scorer.features.number.items() if e in held)
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_label_model_by_brute_force():
+    """One round of EM from the label's start, by loops."""
+    r = np.random.default_rng(3)
+    y = r.random(200) < 0.4
+    v = np.stack([np.where(r.random(200) < 0.9, y, ~y) * 2 - 1, (y & (r.random(200) < 0.7)) * 1, (y & (r.random(200) < 0.6)) * 1], 1).astype(float)
+    rounds, toxicity.ROUNDS = toxicity.ROUNDS, 1
+    try:
+        got = toxicity.label_model(v, 0)
+    finally:
+        toxicity.ROUNDS = rounds
+    p = [0.5 + 0.4 * x[0] for x in v]
+    n, t = len(v), sum(p)
+    rest = [[x[k] - p[i] * sum(p[j] * v[j][k] for j in range(n)) / t - (1 - p[i]) * sum((1 - p[j]) * v[j][k] for j in range(n)) / (n - t) for k in range(3)] for i, x in enumerate(v)]
+    sd = [math.sqrt(sum(x[k] ** 2 for x in rest) / n) + 1e-9 for k in range(3)]
+    weight = [1 / max(1, sum(abs(sum(x[a] * x[b] for x in rest) / n / sd[a] / sd[b]) for b in range(3))) for a in range(3)]
+    weight[0] = 1
+    given = lambda x, c, k: (sum((p[i] if c else 1 - p[i]) for i in range(n) if v[i][k] == x) + 0.5) / ((t if c else n - t) + 1.5)
+    for i in range(n):
+        z = math.log((t + 1) / (n - t + 1)) + sum(weight[k] * math.log(given(v[i][k], 1, k) / given(v[i][k], 0, k)) for k in range(3))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-6
 
 
 def test_copies_of_a_voter_share_its_weight():
@@ -326,7 +400,8 @@ def test_mixing(docs, no_docs):
             longest = max(n for _, n in v)
             assert used[k] <= b + 1e-6 and (used[k] > b - longest - 4 or used[k] == epochs * supply[k]), (share, k, used[k], b)
         assert max((r["__mix_epoch"] for r in got), default=0) < epochs
-    assert mixing.mix(docs).columns == docs.columns
+    mixed = mixing.mix(docs, epochs=1)
+    assert mixed.columns == docs.columns and multiset(mixed) <= multiset(docs)
     assert mixing.select(no_docs).count() == 0
 
 
@@ -359,6 +434,14 @@ def test_language_held_out(spark, docs, no_docs):
     assert odd.count() == len(ROWS) and odd.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     assert odd.where("doc_id IN (50, 51, 52) AND lang_pred != 'und'").count() == 0 and odd.where("doc_id = 53 AND lang_pred = 'und'").count() == 0
     assert langid.predict(no_docs, net, names).count() == 0 and langid.fit(no_docs) == (None, [])
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 0
+    for x in odd.join(docs.select("doc_id", "text"), "doc_id").where("doc_id IN (1, 40, 53, 60, 62)").collect():
+        raw = x["text"].encode()
+        parts = [raw[i : i + langid.WINDOW] for i in range(0, len(raw), langid.WINDOW)]
+        logs = [net.log_probabilities(np.frombuffer(p.ljust(langid.WINDOW, b"\0"), np.uint8)[None])[0] for p in parts]
+        mean = sum(len(p) * v for p, v in zip(parts, logs)) / len(raw)
+        share = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert abs(x["score"] - share.max()) < 1e-4 and x["lang_pred"] == names[int(share.argmax())] and x["held_out"] == held(x["doc_id"])
 
 
 def test_network_gradients_and_tables():
@@ -546,6 +629,28 @@ def test_model_beats_base(spark):
     assert sum(x["score"] for x in out) > sum(x["base_score"] for x in out)
 
 
+# -- the queries -----------------------------------------------------------------------------------------------------
+CONTRACT = {
+    "op1_": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op2_": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op4_": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op5_": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op6_": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op8_": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op9_": "doc_id bigint, fingerprint string, component_id bigint",
+    "op10_": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+}
+
+
+@pytest.mark.parametrize("op", CONTRACT)
+def test_columns_of_queries(spark, op):
+    from tessera.llm import queries
+
+    (name,) = [k for k in queries.queries() if k.startswith(op)]
+    got = dict(queries.queries()[name](spark, "/root/testdata/sf0.001").dtypes)
+    assert {k: got.get(k) for k in (x.split(" ")[0] for x in CONTRACT[op].split(", "))} == dict(x.split(" ") for x in CONTRACT[op].split(", "))
+
+
 # -- the pipeline ------------------------------------------------------------------------------------------------------
 def test_pipeline(spark):
     import corpus_pipeline as c
@@ -566,3 +671,24 @@ def test_pipeline(spark):
         by[r["sequence_id"]] += r["length"]
     assert max(by.values()) <= packing.CAPACITY
     assert c.run(spark, d).count() == len(out)
+
+
+def test_pipeline_of_nothing(spark, no_docs, tmp_path):
+    import corpus_pipeline as c
+
+    no_docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_hard_cases(spark, docs, tmp_path):
+    import corpus_pipeline as c
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, None, None), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows, now = multiset(docs), docs
+    for _, stage in c.STAGES[:-1]:
+        alone, now = stage(spark, docs, str(tmp_path)), stage(spark, now, str(tmp_path))
+        assert alone.columns == now.columns == docs.columns and multiset(alone) <= rows and multiset(now) <= rows
+    assert multiset(c.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct()) == Counter((d,) for d in {d for d, _ in ROWS})
+    assert {r["doc_id"] for r in c.run(spark, str(tmp_path)).collect()} == {r["doc_id"] for r in now.collect()}
