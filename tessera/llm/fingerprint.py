@@ -78,9 +78,9 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column) -> Column:
-    """Struct of left (cells not emptied), plus and minus (numbers of digests only in the first, the second set)."""
+    """Struct of left (cells not emptied), plus and minus (the digests found to be only in the first, the second set)."""
     single = lambda x: (F.abs(x["n"]) == 1) & (_check(x["k"]) == x["c"])
-    start = F.struct(cells.alias("cells"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("plus"), F.lit(0).cast("long").alias("minus"))
+    start = F.struct(cells.alias("cells"), F.lit(False).alias("done"), *[F.array().cast("array<bigint>").alias(k) for k in ("plus", "minus")])
 
     def taken(state: Column, out: Column) -> Column:
         def without(x: Column, i: Column) -> Column:
@@ -90,8 +90,8 @@ def peel(cells: Column) -> Column:
         return F.struct(
             F.transform(state["cells"], without).alias("cells"),
             (F.size(out) == 0).alias("done"),
-            (state["plus"] + F.size(F.filter(out, lambda e: e["n"] == 1))).cast("long").alias("plus"),
-            (state["minus"] + F.size(F.filter(out, lambda e: e["n"] == -1))).cast("long").alias("minus"),
+            F.concat(state["plus"], F.transform(F.filter(out, lambda e: e["n"] == 1), lambda e: e["k"])).alias("plus"),
+            F.concat(state["minus"], F.transform(F.filter(out, lambda e: e["n"] == -1), lambda e: e["k"])).alias("minus"),
         )
 
     def step(state: Column, _: Column) -> Column:
@@ -130,21 +130,23 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def _retry(pairs: DataFrame) -> DataFrame:
-    """rid, kind, plus, minus for pairs (rid, kind, a, b: their digests) by larger sketches."""
+    """rid, kind, plus, minus (the differing digests) for pairs (rid, kind, a, b: their digests) by larger sketches. Only
+    digests that RETRIES deals of finer and finer shards leave together, which takes equal check sums, are compared as
+    they are."""
     spark = pairs.sparkSession
     sized = pairs.withColumn("shards", F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2((F.size("a") + F.size("b")) / F.lit(SHARD_KEYS)))).cast("long")))
     keyed = sized.select(
         "rid", "kind", "shards", F.explode(F.concat(F.transform("a", lambda k: F.struct(k.alias("k"), F.lit(1).alias("s"))), F.transform("b", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("s"))))).alias("e")
     ).select("rid", "kind", "shards", F.col("e.k").alias("k"), F.col("e.s").alias("s"))
     done: list[DataFrame] = []
-    schema = "rid long, kind int, plus long, minus long"
+    schema = "rid long, kind int, plus array<bigint>, minus array<bigint>"
     for attempt in range(RETRIES + 1):
         shard = F.pmod(F.xxhash64("k", F.lit(attempt)), F.col("shards") * (4**attempt))
         split = keyed.groupBy("rid", "kind", "shards", shard.alias("shard")).agg(
             F.collect_list(F.when(F.col("s") == 1, F.col("k"))).alias("a"), F.collect_list(F.when(F.col("s") == -1, F.col("k"))).alias("b")
         )
         if attempt == RETRIES:
-            done.append(split.select("rid", "kind", F.size(F.array_except("a", "b")).cast("long").alias("plus"), F.size(F.array_except("b", "a")).cast("long").alias("minus")))
+            done.append(split.select("rid", "kind", F.array_except("a", "b").alias("plus"), F.array_except("b", "a").alias("minus")))
             break
         tried = common.write_table(split.withColumn("p", peel(subtract(sketch(F.col("a")), sketch(F.col("b"))))), "retry")
         done.append(tried.where("p.left = 0").select("rid", "kind", "p.plus", "p.minus"))
@@ -156,7 +158,16 @@ def _retry(pairs: DataFrame) -> DataFrame:
     out = spark.createDataFrame([], schema)
     for d in done:
         out = out.union(d)
-    return out.groupBy("rid", "kind").agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus"))
+    return out.groupBy("rid", "kind").agg(F.flatten(F.collect_list("plus")).alias("plus"), F.flatten(F.collect_list("minus")).alias("minus"))
+
+
+def differences(pairs: DataFrame) -> DataFrame:
+    """For pairs (rid long, a, b: two versions of a text, null as empty): rid, plus and minus, the digests of the paragraphs
+    that only a, only b has, recovered from the difference of their sketches."""
+    keyed = pairs.select("rid", F.lit(0).alias("kind"), *[digests(F.coalesce(F.col(k), F.lit(""))).alias(k) for k in ("a", "b")])
+    tried = common.write_table(keyed.withColumn("p", peel(subtract(sketch(F.col("a")), sketch(F.col("b"))))), "differences")
+    again = _retry(tried.where("p.left > 0").select("rid", "kind", "a", "b"))
+    return tried.where("p.left = 0").select("rid", "p.plus", "p.minus").union(again.select("rid", "plus", "minus"))
 
 
 def _likeness(na: Column, plus: Column, minus: Column) -> Column:
@@ -173,11 +184,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", digests(F.col("edited")).alias("edited_keys"))
     d = d.select("*", sketch(F.col("keys")).alias("s"), sketch(F.col("edited_keys")).alias("es"), sketch(F.col("next_keys")).alias("ns"))
     d = d.select("*", peel(subtract(F.col("s"), F.col("es"))).alias("pe"), peel(subtract(F.col("s"), F.col("ns"))).alias("pn"))
+    sizes = lambda p: F.struct(F.col(f"{p}.left"), F.size(f"{p}.plus").alias("plus"), F.size(f"{p}.minus").alias("minus")).alias(p)
     again = (F.col("pe.left") > 0) | (F.col("pn.left") > 0)
     stored = common.write_table(
         d.select(
             F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", "edited_sha256", text_form(F.col("s")).alias("fingerprint"), text_form(F.col("es")).alias("edited_fingerprint"),
-            F.size("keys").alias("na"), "pe", "pn", *[F.when(again, F.col(k)).alias(k) for k in ("keys", "edited_keys", "next_keys")],
+            F.size("keys").alias("na"), sizes("pe"), sizes("pn"), *[F.when(again, F.col(k)).alias(k) for k in ("keys", "edited_keys", "next_keys")],
         ),
         "sketches",
     )
@@ -185,7 +197,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         stored.where("pn.left > 0").select("rid", F.lit(1).alias("kind"), F.col("keys").alias("a"), F.col("next_keys").alias("b"))
     )
     found = _retry(pairs)
-    found = found.groupBy("rid").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}{k}") for k in (0, 1) for c in ("plus", "minus")])
+    found = found.groupBy("rid").agg(*[F.max(F.when(F.col("kind") == k, F.size(c))).alias(f"{c}{k}") for k in (0, 1) for c in ("plus", "minus")])
     out = stored.drop("keys", "edited_keys", "next_keys").join(found, "rid", "left")
 
     def near(p: str, kind: int) -> Column:

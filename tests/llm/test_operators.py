@@ -63,10 +63,22 @@ def test_peeling_and_retry(spark):
         if x["na"] + x["nb"] <= 5:
             assert x["p"]["left"] == 0
         if x["p"]["left"] == 0:
-            assert (x["p"]["plus"], x["p"]["minus"]) == (x["na"], x["nb"])
+            assert (len(x["p"]["plus"]), len(x["p"]["minus"])) == (x["na"], x["nb"])
         assert x["na"] + x["nb"] < 100 or x["p"]["left"] > 0
-    found = {x["rid"]: (x["plus"], x["minus"]) for x in fingerprint._retry(df.drop("na", "nb")).collect()}
-    assert found == {x[0]: (x[4], x[5]) for x in rows}
+    found = {x["rid"]: (set(x["plus"]), set(x["minus"])) for x in fingerprint._retry(df.drop("na", "nb")).collect()}
+    assert found == {x[0]: (set(x[2]) - set(x[3]), set(x[3]) - set(x[2])) for x in rows}
+
+
+def test_differing_paragraphs_are_recovered(spark):
+    r = random.Random(4)
+    line = lambda: "".join(r.choice("abcdef ") for _ in range(30))
+    base = [line() for _ in range(400)]
+    versions = [(0, base, base), (1, base, base[:200] + [line()] + base[201:]), (2, base, [line() for _ in range(500)]), (3, ["x", "x", "y"], ["x", "y", "y"]), (4, None, base[:1])]
+    text = lambda v: None if v is None else "\n".join(v)
+    pairs = spark.createDataFrame([(i, text(a), text(b)) for i, a, b in versions], "rid long, a string, b string")
+    keys = {x["rid"]: (set(x["ka"]), set(x["kb"])) for x in pairs.select("rid", *[fingerprint.digests(F.coalesce(F.col(k), F.lit(""))).alias(f"k{k}") for k in "ab"]).collect()}
+    got = {x["rid"]: (set(x["plus"]), set(x["minus"])) for x in fingerprint.differences(pairs).collect()}
+    assert got == {i: (a - b, b - a) for i, (a, b) in keys.items()} and [len(got[3][k]) for k in (0, 1)] == [2, 2]
 
 
 # -- 2 -----------------------------------------------------------------------------------------------------------------
