@@ -220,7 +220,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     top = vocabulary.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # bounded by FREQUENT
     frequent = {bytes(r["word"]): 1 + i for i, r in enumerate(top)}
-    named = F.broadcast(spark.createDataFrame([(bytearray(w), i) for w, i in frequent.items()], "word binary, known_class int"))
+    named = F.broadcast(spark.createDataFrame([(bytearray(r["word"]), 1 + i, r["c"]) for i, r in enumerate(top)], "word binary, class int, c long"))  # FREQUENT rows
     sized = vocabulary.join(named, "word", "left_anti").groupBy(F.expr(_bucket("word")).alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     freq, room = np.zeros(1 + FREQUENT + BUCKETS), np.ones(1 + FREQUENT + BUCKETS)
     freq[0] = n_train
@@ -231,8 +231,11 @@ def score(docs: DataFrame) -> DataFrame:
         room[1 + FREQUENT + r["bucket"]] = r["n"] + r["v"] + 1
     model = train(stored, frequent, freq)
 
-    counted = listed.select("chunk", "at", "word").join(vocabulary, "word", "left").join(named, "word", "left")
-    looked = counted.select(F.col("chunk").alias("of_chunk"), "at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("known_class", F.expr(f"{1 + FREQUENT} + {_bucket('word')}")).alias("class"))
+    # a frequent word is in every chunk: those are looked up in place, only rare words are dealt by word
+    words = listed.select(F.col("chunk").alias("of_chunk"), "at", "word")
+    common_words = words.join(named, "word").select("of_chunk", "at", "c", "class")
+    rare = words.join(named, "word", "left_anti").join(vocabulary, "word", "left")
+    looked = common_words.union(rare.select("of_chunk", "at", F.coalesce("c", F.lit(0)).alias("c"), F.expr(f"{1 + FREQUENT} + {_bucket('word')}").alias("class")))
 
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
