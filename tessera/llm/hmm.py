@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,38 +36,50 @@ SUFFIX = 3
 _CHUNKS = "chunk long, doc_ids array<bigint>, held array<boolean>, lengths array<int>, ids binary, words array<binary>, counts array<bigint>, n_train long"
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (null: none), A-Z in lower case, as bytes, and where each text's begin and the last one's end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words = lists.flatten().cast(pa.large_binary())
+    there = pc.greater(pc.binary_length(words), 0)
+    offsets = lists.offsets.to_numpy()
+    before = np.concatenate(([0], np.cumsum(there.to_numpy(zero_copy_only=False))))
+    return words.filter(there), before[offsets - offsets[0]]
+
+
 def chunks(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """docs as rows of whole documents with a common vocabulary; counts are of training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        doc_ids: list = []
-        held: list[bool] = []
-        lengths: list[int] = []
-        words: list[bytes] = []
+        part, number, size = TaskContext.get().partitionId(), 0, 0
+        open_: list[tuple] = []  # doc_ids, held, lengths, words of consecutive documents
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, doc_ids, held, lengths, words
-            local = {w: i for i, w in enumerate(dict.fromkeys(words))}
-            ids = np.fromiter(map(local.__getitem__, words), np.uint32, len(words))
-            train = np.repeat(~np.array(held, bool), lengths)
-            counts = np.bincount(ids[train], minlength=len(local))
-            row = [(part << 32) + number], [doc_ids], [held], [lengths], [ids.astype("<u4").tobytes()], [list(local)], [counts], [len(held) - sum(held)]
+            nonlocal number, size, open_
+            doc_ids, held, lengths, words = zip(*open_)
+            coded = pa.concat_arrays(words).dictionary_encode()
+            held, lengths = np.concatenate(held), np.concatenate(lengths)
+            ids = coded.indices.to_numpy()
+            counts = np.bincount(ids[np.repeat(~held, lengths)], minlength=len(coded.dictionary))
+            row = [(part << 32) + number], [sum(map(pa.Array.to_pylist, doc_ids), [])], [held], [lengths], [ids.astype("<u4").tobytes()], [coded.dictionary.to_pylist()], [counts], [int((~held).sum())]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64()]
-            number += 1
-            doc_ids, held, lengths, words = [], [], [], []
+            number, size, open_ = number + 1, 0, []
             return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, kinds)], names=[x.split(" ")[0] for x in _CHUNKS.split(", ")])
 
         for b in batches:
-            for d, t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                w = (t or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-                if words and len(words) + len(w) > CHUNK_WORDS:
+            words, stops = words_of(b.column(1))
+            held = b.column(2).to_numpy() == held_out
+            at = 0
+            while at < b.num_rows:
+                stop = int(np.searchsorted(stops, stops[at] + CHUNK_WORDS - size, side="right")) - 1
+                if stop <= at and not open_:
+                    stop = at + 1  # a document above CHUNK_WORDS is a chunk of its own
+                if stop > at:
+                    open_.append((b.column(0).slice(at, stop - at), held[at:stop], np.diff(stops[at : stop + 1]).astype(np.int32), words.slice(stops[at], stops[stop] - stops[at])))
+                    size += int(stops[stop] - stops[at])
+                    at = stop
+                if at < b.num_rows:
                     yield flush()
-                doc_ids.append(d)
-                held.append(f == held_out)
-                lengths.append(len(w))
-                words += w
-        if doc_ids:
+        if open_:
             yield flush()
 
     common.ship(docs.sparkSession)
