@@ -189,7 +189,8 @@ def train(stored: DataFrame, frequent: dict[bytes, int], freq: np.ndarray, round
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = np.zeros((STATES, n_classes + STATES + 1))
             for b in batches:
-                for held, lengths, ids, words in zip(*(b.column(i).to_pylist() for i in range(4))):
+                for i in range(b.num_rows):  # one chunk at a time in memory
+                    held, lengths, ids, words = (b.column(k)[i].as_py() for k in range(4))
                     classes = _classes(words, frequent)[np.frombuffer(ids, "<u4")]
                     obs, starts, n = _with_ends(classes, np.array(lengths))
                     keep = ~np.array(held, bool)
