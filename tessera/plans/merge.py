@@ -32,10 +32,10 @@ def incarnations(ops: DataFrame, barrier: Column, keys: list[str], seq: str = "s
 
 
 def current(ops: DataFrame, barrier: Column, keys: list[str], seq: str = "seq") -> DataFrame:
-    """Records after the last barrier of their key. One aggregate and one window over the same partitioning."""
-    w = Window.partitionBy(*keys)
-    last = F.max(F.when(barrier, F.col(seq))).over(w)
-    return ops.withColumn("__last", last).where(F.col("__last").isNull() | (F.col(seq) > F.col("__last"))).drop("__last")
+    """Records after the last barrier of their key: barriers are few, so their maxima are joined to the records, which
+    need no window."""
+    last = ops.where(barrier).groupBy(*keys).agg(F.max(seq).alias("__last"))
+    return ops.join(last, keys, "left").where(F.col("__last").isNull() | (F.col(seq) > F.col("__last"))).drop("__last")
 
 
 def drop_prefix_deleted(records: DataFrame, prefix_deletes: DataFrame, on: list[str]) -> DataFrame:
@@ -44,16 +44,18 @@ def drop_prefix_deleted(records: DataFrame, prefix_deletes: DataFrame, on: list[
 
 
 def strings(ops: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """key, value, expire_ms of strings: the newest value and the newest expiry after the last delete. One shuffle."""
+    """key, value, expire_ms of strings: the newest value and the newest expiry, unless a delete is newer than the value.
+    One aggregate, partial before its shuffle; an expiry that counts can't be older than the value, or the value's wins."""
     keys = keys or ["key"]
-    kept = current(ops, F.col("kind") == int(Kind.DELETE), keys)
     is_set = F.col("kind").isin(int(Kind.SET), int(Kind.SET_SEPARATE))
-    newest = kept.groupBy(*keys).agg(
+    barrier = F.col("kind").isin(int(Kind.DELETE), int(Kind.PREFIX_DELETE))
+    newest = ops.groupBy(*keys).agg(
         F.max_by("value", F.when(is_set, F.col("seq"))).alias("value"),
         F.max(F.when(is_set, F.col("seq"))).alias("seq"),
         F.max_by("expire_ms", F.when(is_set | (F.col("kind") == int(Kind.EXPIRE_AT)), F.col("seq"))).alias("expire_ms"),
+        F.max(F.when(barrier, F.col("seq"))).alias("__gone"),
     )
-    return newest.where("seq IS NOT NULL")
+    return newest.where(F.col("seq").isNotNull() & (F.col("__gone").isNull() | (F.col("seq") > F.col("__gone")))).drop("__gone")
 
 
 def merge_tiers(*tiers: DataFrame) -> DataFrame:

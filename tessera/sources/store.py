@@ -1,26 +1,33 @@
 """A keyed store on Parquet folders: a log of operations, a compacted base, snapshots.
 
-Layout below the root: `log/` (deltas, appended), `base-N/` (state up to a seq) and `manifest/` (a JSON line for each
-committed base: its folder and the seq it covers). A base is written aside and becomes current by the manifest row
-alone, so a failed compaction changes nothing, and readers of an old base aren't disturbed. Reads union base and log
-above the base's seq; a log folder is partitioned by slot, so reads of few slots touch few files. Base files are dealt
-by range of slot and key, so key filters skip files by their statistics.
+Layout below the root: `log/batch=<name>/slot=N/` (appended operations), `base-<id>/` (compacted operations) and `manifest/`
+(a JSON file for each commit, named by its number: its base and the log batches that the base covers). A batch is written
+aside and renamed, a base is written aside and becomes current by its manifest file alone, so what fails halfway changes
+nothing and readers of an older commit aren't disturbed until vacuum(). A read takes the base and the batches it doesn't
+cover, whatever their sequence numbers: an operation that comes late or twice counts as it would have in time, for a
+base keeps the newest tombstones and barriers. Log batches are partitioned by slot and base files dealt by range of slot
+and key, so reads of few slots or keys touch few files.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import slot_of
+from ..functions.columns import alive, slot_of, valid_element
 from ..operators import keyspace, maintenance
 from ..plans import merge
 from ..schema import OPS, DataType, Kind, NotFound, WrongType
 
-_MANIFEST = "folder string, seq long, at long"
+
+def _barrier() -> Column:
+    """Deletes of a whole key name no subkey."""
+    return ((F.col("kind") == int(Kind.DELETE)) & F.col("subkey").isNull()) | (F.col("kind") == int(Kind.PREFIX_DELETE))
 
 
 class Store:
@@ -36,44 +43,162 @@ class Store:
         fs, p = self._fs(path)
         return fs.exists(p)
 
-    def _current(self) -> tuple[str | None, int]:
-        if not self._exists(f"{self.root}/manifest"):
-            return None, -1
-        r = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest").orderBy(F.desc("seq"), F.desc("at")).first()
-        return (r["folder"], r["seq"]) if r else (None, -1)
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def _rename(self, source: str, target: str) -> None:
+        fs, p = self._fs(source)
+        to = self._fs(target)[1]
+        fs.mkdirs(to.getParent())
+        if fs.exists(to) or not fs.rename(p, to):
+            raise FileExistsError(target)
+
+    def _current(self) -> dict:
+        """The newest commit: its number, base folder, and the log batches that the base covers."""
+        for name in sorted((n for n in self._names("manifest") if re.fullmatch(r"\d+\.json", n)), reverse=True):
+            fs, p = self._fs(f"{self.root}/manifest/{name}")
+            file = fs.open(p)
+            try:
+                return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")) | {"commit": int(name[:-5])}
+            except ValueError:  # a writer died in the middle of it
+                continue
+            finally:
+                file.close()
+        return {"commit": 0, "base": None, "covers": [], "scanned_sec": 0}
+
+    def _commit(self, after: dict, **changes) -> None:
+        """A manifest file after the commit that the change was made from; of two writers at once one fails."""
+        entry = {k: v for k, v in (after | changes).items() if k != "commit"}
+        broken = [int(n[:-5]) for n in self._names("manifest") if re.fullmatch(r"\d+\.json", n) and int(n[:-5]) > after["commit"]]
+        if broken and self._current()["commit"] != after["commit"]:
+            raise RuntimeError("another writer has committed meanwhile")
+        fs, p = self._fs(f"{self.root}/manifest/{max([after['commit'], *broken]) + 1:012}.json")
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+
+    def _logged(self) -> list[str]:
+        return [n[6:] for n in self._names("log") if n.startswith("batch=")]
+
+    def _batches(self, entry: dict) -> list[str]:
+        covered = set(entry["covers"])
+        return [n for n in self._logged() if n not in covered]
+
+    def _log(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(OPS).option("basePath", f"{self.root}/log").parquet(*(f"{self.root}/log/batch={n}" for n in names)).select(*OPS.names)
 
     # -- writes --------------------------------------------------------------------------------------------------------
-    def append(self, ops: DataFrame) -> None:
-        """Add operations; missing columns are null, a missing slot comes from the key."""
+    def append(self, ops: DataFrame, batch: str | None = None) -> None:
+        """Add operations; missing columns are null, a missing slot comes from the key. A batch with a name that was
+        appended before (a replay) changes nothing."""
+        name = batch or uuid.uuid4().hex
+        if self._exists(f"{self.root}/log/batch={name}") or name in self._current()["covers"]:
+            return
         for f in OPS.fields:
             if f.name not in ops.columns:
                 ops = ops.withColumn(f.name, F.lit(None).cast(f.dataType))
         ops = ops.select(*[F.col(f.name).cast(f.dataType) for f in OPS.fields]).withColumn("slot", F.coalesce("slot", slot_of(F.col("key"))))
-        ops.write.mode("append").partitionBy("slot").parquet(f"{self.root}/log")
+        aside = f"{self.root}/log/.{name}-{uuid.uuid4().hex}"
+        ops.write.partitionBy("slot").parquet(aside)
+        self._rename(aside, f"{self.root}/log/batch={name}")
+
+    def write(self, rows: DataFrame, kind: Kind, data_type: DataType = DataType.NONE, now_ms: int | None = None, check: bool = True) -> None:
+        """Rows (key, and what the kind uses of subkey, value, score, expire_ms) as operations after all there are, in
+        order of their seq if they have one. An element that may not be stored is left out. With check, a living key of
+        another type raises WrongType, and a key that has expired at now_ms begins anew."""
+        now = int(time.time() * 1000) if now_ms is None else now_ms
+        rows = rows.where(valid_element(F.col("subkey"), F.col("value") if "value" in rows.columns else None)) if "subkey" in rows.columns else rows
+        last = self.ops().agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
+        extra = [c for c in ("slot", "subkey", "value", "score", "expire_ms") if c in rows.columns]
+        typed = F.lit(int(data_type)) if data_type != DataType.NONE else F.lit(None).cast("int")
+        order = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
+        ops = rows.select("key", *extra, F.lit(int(kind)).alias("kind"), typed.alias("data_type"), F.lit(now).alias("op_ms"), (order + F.lit(last + 2)).alias("seq"))
+        if check:
+            held = self.heads().join(rows.select("key").distinct(), "key", "left_semi")
+            living = alive(F.col("expire_ms"), now)
+            if data_type != DataType.NONE and held.where(living & (F.col("data_type") != int(data_type))).limit(1).count():
+                raise WrongType
+            dead = held.where(~living).select("slot", "key", F.lit(int(Kind.PREFIX_DELETE)).alias("kind"), F.lit(now).alias("op_ms"), F.lit(last + 1).alias("seq"))
+            ops = dead.unionByName(ops, allowMissingColumns=True)
+        self.append(ops)
+
+    def set(self, rows: DataFrame, **options) -> None:
+        """Strings: key, value, and expire_ms (0: never) if they expire."""
+        self.write(rows if "expire_ms" in rows.columns else rows.withColumn("expire_ms", F.lit(0).cast("long")), Kind.SET, DataType.STRING, **options)
+
+    def set_elements(self, rows: DataFrame, data_type: DataType, **options) -> None:
+        """Elements of hashes (key, subkey, value), sets (key, subkey), sorted sets (key, subkey, score), lists (key,
+        subkey as position, value) and bitmaps (key, subkey as offset)."""
+        self.write(rows.withColumn("subkey", F.col("subkey").cast("string")), Kind.SET, data_type, **options)
+
+    def delete_elements(self, rows: DataFrame, data_type: DataType, **options) -> None:
+        self.write(rows.withColumn("subkey", F.col("subkey").cast("string")), Kind.DELETE, data_type, **options)
+
+    def push(self, rows: DataFrame, left: bool = False, **options) -> None:
+        """Values (key, value, seq: their order) at an end of lists."""
+        ends = self.elements(DataType.LIST).groupBy("key").agg(F.min(F.col("subkey").cast("long")).alias("first"), F.max(F.col("subkey").cast("long")).alias("last"))
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
+        at = F.coalesce(F.col("first"), F.lit(0)) - nth if left else F.coalesce(F.col("last"), F.lit(-1)) + nth
+        placed = rows.join(ends, "key", "left").select("key", "value", "seq", at.cast("string").alias("subkey"))
+        self.write(placed, Kind.SET, DataType.LIST, **options)
+
+    def delete(self, keys: DataFrame, **options) -> None:
+        """Whole keys of whatever type."""
+        self.write(keys.select("key").distinct(), Kind.DELETE, check=False, **options)
+
+    def expire_at(self, rows: DataFrame, now_ms: int) -> DataFrame:
+        """rows (key, expire_ms) with result; 1 where the expiry was set (missing and expired keys, and no expiry where
+        there is none, give 0)."""
+        result = keyspace.expire_at(self.heads(), rows.withColumnRenamed("expire_ms", "new_ms"), now_ms).withColumnRenamed("new_ms", "expire_ms")
+        self.write(result.where("result = 1").select("key", "expire_ms"), Kind.EXPIRE_AT, now_ms=now_ms, check=False)
+        return result
 
     # -- reads ---------------------------------------------------------------------------------------------------------
-    def ops(self) -> DataFrame:
-        """Base and the log above it, as one log."""
-        folder, seq = self._current()
-        tiers = []
-        if folder:
-            tiers.append(self.spark.read.schema(OPS).parquet(folder))
-        if self._exists(f"{self.root}/log"):
-            tiers.append(self.spark.read.schema(OPS).parquet(f"{self.root}/log").where(F.col("seq") > seq))
+    def ops(self, entry: dict | None = None) -> DataFrame:
+        """Base and the log it doesn't cover, as one log."""
+        entry = entry or self._current()
+        tiers = [self.spark.read.schema(OPS).parquet(entry["base"])] if entry["base"] else []
+        tiers += [self._log(names)] if (names := self._batches(entry)) else []
         return merge.merge_tiers(*tiers).select(*OPS.names) if tiers else self.spark.createDataFrame([], OPS)
 
     def strings(self) -> DataFrame:
-        return merge.strings(self._of_current(F.col("data_type").isNull() | (F.col("data_type") == int(DataType.STRING))), ["slot", "key"])
+        string = F.col("data_type").isNull() | (F.col("data_type") == int(DataType.STRING)) | _barrier()
+        return merge.strings(self.ops().where(string & (F.col("subkey").isNull() | _barrier())), ["slot", "key"])
 
     def elements(self, data_type: DataType) -> DataFrame:
         """Live elements (slot, key, subkey, value, score) of all collections of a type."""
-        rows = self._of_current((F.col("data_type") == int(data_type)) & F.col("subkey").isNotNull())
+        ops = self.ops().where(((F.col("data_type") == int(data_type)) & F.col("subkey").isNotNull()) | _barrier())
+        rows = merge.current(ops, _barrier(), ["slot", "key"])
         return merge.live(rows, ["slot", "key", "subkey"]).select("slot", "key", "subkey", "value", "score", "seq")
 
-    def _of_current(self, which: Column) -> DataFrame:
-        """Operations after the last delete of their key: deletes of whole keys name no subkey."""
-        barrier = (F.col("kind") == int(Kind.DELETE)) & F.col("subkey").isNull() | (F.col("kind") == int(Kind.PREFIX_DELETE))
-        return merge.current(self.ops(), barrier, ["slot", "key"]).where(which)
+    def _of_current(self, which: Column, entry: dict | None = None) -> DataFrame:
+        """Operations after the last delete of their key."""
+        return merge.current(self.ops(entry), _barrier(), ["slot", "key"]).where(which)
+
+    def heads(self) -> DataFrame:
+        """slot, key, data_type, expire_ms (0: never) of every key that isn't deleted."""
+        state = self._of_current(F.lit(True))
+        living = merge.live(state.where(F.col("kind") != int(Kind.EXPIRE_AT)), ["slot", "key", "subkey"])
+        types = living.groupBy("slot", "key").agg(F.max_by("data_type", "seq").alias("data_type"))
+        expiry = state.where("expire_ms IS NOT NULL").groupBy("slot", "key").agg(F.max_by("expire_ms", "seq").alias("expire_ms"))
+        return types.join(expiry, ["slot", "key"], "left").withColumn("expire_ms", F.coalesce("expire_ms", F.lit(0).cast("long")))
+
+    def meta(self) -> DataFrame:
+        """slot, key, data_type, expire_ms, version (that of the incarnation: the seq of the delete before it, or 0), size
+        (elements; null for strings), lindex, rindex (first and last position of a list) of every key, in one read."""
+        ops = self.ops()
+        version = ops.where(_barrier()).groupBy("slot", "key").agg(F.max("seq").alias("version"))
+        rows = merge.live(self._of_current(F.col("subkey").isNotNull()), ["slot", "key", "subkey"])
+        at = F.when(F.col("data_type") == int(DataType.LIST), F.col("subkey").cast("long"))
+        sizes = rows.groupBy("slot", "key").agg(F.count("*").alias("size"), F.min(at).alias("lindex"), F.max(at).alias("rindex"))
+        out = self.heads().join(version, ["slot", "key"], "left").join(sizes, ["slot", "key"], "left")
+        size = F.when(F.col("data_type") != int(DataType.STRING), F.coalesce("size", F.lit(0)))
+        return out.select("slot", "key", "data_type", "expire_ms", F.coalesce("version", F.lit(0)).alias("version"), size.alias("size"), "lindex", "rindex")
 
     def check_type(self, key: str, data_type: DataType) -> None:
         """Raises NotFound or WrongType as point operations do."""
@@ -84,57 +209,99 @@ class Store:
             raise WrongType
 
     def scan(self, now_ms: int, **options) -> DataFrame:
-        state = self._of_current(F.lit(True))
-        heads = state.groupBy("slot", "key").agg(F.max_by("data_type", "seq").alias("data_type"), F.coalesce(F.max_by("expire_ms", F.when(F.col("expire_ms").isNotNull(), F.col("seq"))), F.lit(0)).alias("expire_ms"))
-        return keyspace.scan(heads, now_ms, **options)
+        return keyspace.scan(self.heads(), now_ms, **options)
+
+    def export(self, slot: int) -> DataFrame:
+        """The operations of one slot; of the log only its folders are read."""
+        return self.ops().where(F.col("slot") == slot)
 
     # -- upkeep --------------------------------------------------------------------------------------------------------
-    def compact(self, now_ms: int | None = None, files: int | None = None) -> None:
-        """Write a new base: what reads can still see, less what has expired at now_ms (older bases stay until vacuum())."""
-        rows = self._of_current(F.lit(True))
-        upto = self.ops().agg(F.max("seq").alias("m")).first()["m"]
-        if upto is None:
+    def compact(self, now_ms: int | None = None, files: int | None = None, without_slot: int | None = None, settled_seq: int = -1) -> None:
+        """Write a new base of all operations that one listing finds: for each key its newest barrier, its newest expiry
+        and of each element the newest operation, less keys that have expired at now_ms. Tombstones and barriers up to
+        settled_seq go too: the caller knows that no operation so old comes any more."""
+        entry = self._current()
+        covers = self._batches(entry)
+        if not covers and not entry["base"]:
             return
+        ops = self.ops(entry) if without_slot is None else self.ops(entry).where(F.col("slot") != without_slot)
+        rows = merge.current(ops, _barrier(), ["slot", "key"])
         expiry = rows.where(F.col("kind") == int(Kind.EXPIRE_AT)).groupBy("slot", "key").agg(F.max(F.struct("seq", "expire_ms"))["expire_ms"].alias("__e"), F.max("seq").alias("__s"))
-        kept = merge.live(rows.where(F.col("kind") != int(Kind.EXPIRE_AT)), ["slot", "key", "subkey"])
+        kept = merge.latest(rows.where(F.col("kind") != int(Kind.EXPIRE_AT)), ["slot", "key", "subkey"])
         kept = kept.join(expiry, ["slot", "key"], "left")
         newer = F.col("__s").isNotNull() & (F.col("__s") > F.col("seq"))
         kept = kept.withColumn("expire_ms", F.when(newer, F.col("__e")).otherwise(F.col("expire_ms"))).drop("__e", "__s")
         if now_ms is not None:
             kept = kept.where((F.coalesce("expire_ms", F.lit(0)) == 0) | (F.col("expire_ms") > now_ms))
+        newest_expiry = merge.latest(rows.where(F.col("kind") == int(Kind.EXPIRE_AT)), ["slot", "key"])
+        barriers = merge.latest(ops.where(_barrier()), ["slot", "key"])
+        everything = kept.unionByName(barriers).unionByName(newest_expiry.where(alive(F.col("expire_ms"), now_ms)) if now_ms is not None else newest_expiry)
+        gone = F.col("kind").isin(int(Kind.DELETE), int(Kind.PREFIX_DELETE)) & (F.col("seq") <= settled_seq)
         folder = f"{self.root}/base-{uuid.uuid4().hex}"
         n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        kept.select(*OPS.names).repartitionByRange(n, "slot", "key").sortWithinPartitions("slot", "key", "subkey").write.parquet(folder)
-        self.spark.createDataFrame([(folder, upto)], "folder string, seq long").withColumn("at", F.unix_millis(F.current_timestamp())).coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+        everything.where(~gone).select(*OPS.names).repartitionByRange(n, "slot", "key").sortWithinPartitions("slot", "key", "subkey").write.parquet(folder)
+        there = self._logged()
+        known = [n for n in entry["covers"] if n in there or not re.fullmatch(r"[0-9a-f]{32}", n)]  # a named batch may come again
+        self._commit(entry, base=folder, covers=sorted({*known, *covers}))
+
+    def sweep(self, now_ms: int) -> DataFrame:
+        """Delete keys whose sweep bucket has passed since the sweep before, whenever that was, and note how far it came; the
+        keys that went."""
+        entry, upto = self._current(), now_ms // 1000
+        due = maintenance.sweep(maintenance.expiry_index(self.heads()), entry.get("scanned_sec", 0), upto)
+        due = due.where(~alive(F.col("expire_ms"), now_ms)).select("slot", "key", "expire_ms")
+        name = f"sweep-{uuid.uuid4().hex}"
+        last = self.ops(entry).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
+        self.append(due.withColumns({"kind": F.lit(int(Kind.PREFIX_DELETE)), "seq": F.lit(last + 1), "value": F.col("expire_ms").cast("string")}).drop("expire_ms"), batch=name)
+        self._commit(entry, scanned_sec=upto)
+        return self._log([name]).select("slot", "key")
+
+    def gc(self, slot: int, now_ms: int, ratio: float = 0.3) -> bool:
+        """Compact if at least this share of a slot's operations is dead at now_ms; whether it did."""
+        rows = self.export(slot)
+        living = merge.live(merge.current(rows, _barrier(), ["slot", "key"]).where(F.col("kind") != int(Kind.EXPIRE_AT)), ["slot", "key", "subkey"])
+        heads = self.heads().where((F.col("slot") == slot) & alive(F.col("expire_ms"), now_ms)).select("key")
+        total, there = rows.count(), living.join(heads, "key", "left_semi").count()
+        if not total or total - there < ratio * total:
+            return False
+        self.compact(now_ms)
+        return True
 
     def checkpoint(self, target: str) -> None:
-        """A copy of everything readable, as a store of its own; fails if the target exists."""
-        if self._exists(target):
-            raise FileExistsError(target)
+        """A copy of everything readable, as a store of its own; fails if the target holds one. It is one only by the
+        manifest file that is written last."""
         other = Store(self.spark, target)
-        other.append(self.ops())
+        if other._names("manifest") or other._names("log"):
+            raise FileExistsError(target)
+        folder = f"{other.root}/base-{uuid.uuid4().hex}"
+        entry = self._current()
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.ops(entry).repartitionByRange(n, "slot", "key").sortWithinPartitions("slot", "key", "subkey").write.parquet(folder)
+        other._commit({"commit": 0}, base=folder, covers=[], scanned_sec=entry.get("scanned_sec", 0))
 
     def drop_slot(self, slot: int) -> None:
-        """Remove a partition of keys: its log folder, and its rows of the base by a new base."""
-        folder, seq = self._current()
-        if folder:
-            new = f"{self.root}/base-{uuid.uuid4().hex}"
-            self.spark.read.schema(OPS).parquet(folder).where(F.col("slot") != slot).write.parquet(new)
-            self.spark.createDataFrame([(new, seq)], "folder string, seq long").withColumn("at", F.unix_millis(F.current_timestamp())).coalesce(1).write.mode("append").json(f"{self.root}/manifest")
-        fs, p = self._fs(f"{self.root}/log/slot={slot}")
-        fs.delete(p, True)
+        """Remove a partition of keys, by one commit."""
+        self.compact(without_slot=slot)
 
     def vacuum(self) -> int:
-        """Delete bases that aren't current; how many there were."""
-        current, n = self._current()[0], 0
-        fs, p = self._fs(self.root)
-        for s in fs.listStatus(p):
-            name = s.getPath().getName()
-            if re.fullmatch(r"base-\w+", name) and not (current or "").endswith(name):
-                fs.delete(s.getPath(), True)
+        """Delete what no reader of the current commit needs: bases that aren't current (how many there were), covered log
+        batches, batches left by writers that died, older manifest files."""
+        entry, n = self._current(), 0
+        for name in self._names(""):
+            if re.fullmatch(r"base-\w+", name) and not (entry["base"] or "").endswith(name):
+                self._delete(f"{self.root}/{name}")
                 n += 1
+        for name in self._names("log"):
+            if name.removeprefix("batch=") in entry["covers"] or name.startswith("."):
+                self._delete(f"{self.root}/log/{name}")
+        for name in self._names("manifest"):
+            if name < f"{entry['commit']:012}.json":
+                self._delete(f"{self.root}/manifest/{name}")
         return n
 
+    def close(self) -> None:
+        """Nothing is held open: every read and write stands for itself."""
+
     def stats(self) -> DataFrame:
         """Records, deletes and value bytes by slot."""
         return maintenance.slot_stats(self.ops())

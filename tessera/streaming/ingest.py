@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,11 +13,12 @@ from ..sources.store import Store
 
 
 def into_store(stream: DataFrame, store: Store, checkpoint: str, compact_every: int = 0, trigger: dict | None = None) -> StreamingQuery:
-    """Append each micro-batch to the store. A batch that runs twice writes the same seqs again, which reads merge, so
-    replay changes nothing. Every compact_every batches the log is folded into a new base."""
+    """Append each micro-batch to the store, under a name by which a batch that runs twice is known. Every compact_every
+    batches the log is folded into a new base."""
+    name = f"stream-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
 
     def batch(df: DataFrame, number: int) -> None:
-        store.append(df)
+        store.append(df, batch=f"{name}-{number}")
         if compact_every and number % compact_every == compact_every - 1:
             store.compact()
 

@@ -197,6 +197,117 @@ def test_store_through_all_tiers(spark, tmp_path):
     assert rows(again.elements(DataType.HASH), "key", "subkey", "value") == [x for x in model(seen) if int(x[0][1:]) % 3 != 1]
 
 
+def op(seq, key, value="v", kind=1, subkey=None, expire=0, slot=0, data_type=1):
+    return (seq, key, kind, data_type, subkey, value, expire, slot)
+
+
+def values(store):
+    return sorted((r["key"], r["value"]) for r in store.strings().collect())
+
+
+def test_store_loses_no_write(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    frame = lambda *ops: spark.createDataFrame(list(ops), COLUMNS)
+    store, other = Store(spark, root), Store(spark, root)
+    store.append(frame(op(10, "a"), op(11, "b"), op(12, "b", None, 0)))
+
+    class Slow(Store):
+        def ops(self, entry=None):
+            out = super().ops(entry)
+            other.append(frame(op(13, "between")), batch="between")
+            return out
+
+    Slow(spark, root).compact()
+    assert values(store) == [("a", "v"), ("between", "v")]
+    store.append(frame(op(5, "late"), op(6, "b", "older than its delete"), op(7, "a", "old")))
+    assert values(store) == [("a", "v"), ("between", "v"), ("late", "v")]
+    store.append(frame(op(99, "x")), batch="between")  # a replay of a named batch
+    store.compact()
+    store.append(frame(op(99, "x")), batch="between")
+    assert values(store) == [("a", "v"), ("between", "v"), ("late", "v")]
+    assert store.vacuum() == 1 and store._names("log") == []
+    store.append(frame(op(99, "x")), batch="between")
+    assert values(store) == [("a", "v"), ("between", "v"), ("late", "v")]
+
+
+def test_failed_commits_change_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.append(spark.createDataFrame([op(1, "a"), op(2, "c", slot=3)], COLUMNS))
+
+    def fail(*_, **__):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_commit", fail)
+        with pytest.raises(OSError):
+            store.compact()
+        with pytest.raises(OSError):
+            store.checkpoint(f"file://{tmp_path}/copy")
+    assert values(store) == [("a", "v"), ("c", "v")] and values(Store(spark, f"file://{tmp_path}/copy")) == []
+    store.checkpoint(f"file://{tmp_path}/copy")
+    assert values(Store(spark, f"file://{tmp_path}/copy")) == [("a", "v"), ("c", "v")]
+    assert store.vacuum() == 1
+    store.drop_slot(3)
+    (tmp_path / "s" / "manifest" / "000000000009.json").write_text("{")  # a writer that died while it committed
+    store.append(spark.createDataFrame([op(3, "d")], COLUMNS))
+    assert values(store) == [("a", "v"), ("d", "v")]
+    store.compact()
+    assert values(Store(spark, f"file://{tmp_path}/s")) == [("a", "v"), ("d", "v")]
+    assert [r["key"] for r in store.export(0).collect()].count("a") == 1 and store.export(3).count() == 0
+
+
+def test_typed_writes_and_meta(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    store.set(frame([("s", "1", 0), ("t", "2", 500)], "key string, value string, expire_ms long"), now_ms=100)
+    store.set_elements(frame([("h", "f", "1"), ("h", "g", "2"), ("h", "", "empty names stay out")], "key string, subkey string, value string"), DataType.HASH, now_ms=100)
+    store.set_elements(frame([("z", "m", 1.5), ("z", "n", -2.0)], "key string, subkey string, score double"), DataType.ZSET, now_ms=100)
+    store.set_elements(frame([("b", 7), ("b", 70_000)], "key string, subkey long"), DataType.BITMAP, now_ms=100)
+    store.push(frame([("l", "x", 1), ("l", "y", 2)], "key string, value string, seq long"), now_ms=100)
+    store.push(frame([("l", "w", 1), ("l", "v", 2)], "key string, value string, seq long"), left=True, now_ms=100)
+    with pytest.raises(WrongType):
+        store.set_elements(frame([("s", "f")], "key string, subkey string"), DataType.SET, now_ms=100)
+
+    def metas():
+        return {r["key"]: (r["data_type"], r["expire_ms"], r["size"], r["lindex"], r["rindex"]) for r in store.meta().collect()}
+
+    want = {"s": (1, 0, None, None, None), "t": (1, 500, None, None, None), "h": (3, 0, 2, None, None), "z": (6, 0, 2, None, None), "b": (2, 0, 2, None, None), "l": (4, 0, 4, -2, 1)}
+    assert metas() == want
+    assert [r["value"] for r in sorted(store.elements(DataType.LIST).collect(), key=lambda r: int(r["subkey"]))] == ["v", "w", "x", "y"]
+    results = store.expire_at(frame([("h", 300), ("nope", 300), ("s", 0)], "key string, expire_ms long"), now_ms=200)
+    assert {r["key"]: r["result"] for r in results.collect()} == {"h": 1, "nope": 0, "s": 0}
+    want["h"] = (3, 300, 2, None, None)
+    assert metas() == want
+    store.compact()
+    assert metas() == want
+    # a collection that expired begins anew: its old elements are gone, its version is another
+    before = {r["key"]: r["version"] for r in store.meta().collect()}
+    store.set_elements(frame([("h", "n", "3")], "key string, subkey string, value string"), DataType.HASH, now_ms=400)
+    assert [(r["subkey"], r["value"]) for r in store.elements(DataType.HASH).collect()] == [("n", "3")]
+    after = {r["key"]: r["version"] for r in store.meta().collect()}
+    assert after["h"] > before["h"] == 0 and metas()["h"] == (3, 0, 1, None, None)
+    store.delete(frame([("z",), ("s",)], "key string"))
+    store.delete_elements(frame([("b", 7)], "key string, subkey long"), DataType.BITMAP)
+    assert set(metas()) == {"t", "h", "b", "l"} and metas()["b"][2] == 1
+
+
+def test_sweeps_catch_up(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.append(spark.createDataFrame([op(i, f"k{i}", expire=0 if i == 7 else i * 1_000_000) for i in range(1, 8)], COLUMNS))
+    swept = lambda now: sorted(r["key"] for r in store.sweep(now).collect())
+    assert swept(1_300_000) == ["k1"] and swept(1_300_001) == []
+    assert swept(4_300_000) == ["k2", "k3", "k4"]  # two sweeps were missed
+    assert [k for k, _ in values(store)] == ["k5", "k6", "k7"]
+    assert not store.gc(0, 4_300_000, ratio=0.9) and store.gc(0, 4_300_000, ratio=0.3)
+    assert [k for k, _ in values(store)] == ["k5", "k6", "k7"] and Store(spark, store.root)._current()["scanned_sec"] == 4300
+
+
+def test_strings_and_current_need_no_window(spark):
+    ops = spark.createDataFrame([op(1, "a")], COLUMNS)
+    for df in (merge.strings(ops), merge.current(ops, F.col("kind") == 0, ["slot", "key"])):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scan_pages_cover_all_keys(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     keys = [(i, f"k{i:03}", 1, 1, None, "v", 0 if i % 4 else 50, i % 10) for i in range(1, 101)]
