@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import alive
+from ..functions.columns import alive, within
 from ..schema import DataType, Kind
 
 
@@ -64,6 +64,24 @@ def seek(rows: DataFrame, column: str, at, forward: bool = True) -> DataFrame:
     return rows.where(c >= at).orderBy(c).limit(1) if forward else rows.where(c < at).orderBy(c.desc()).limit(1)
 
 
+def bounded(rows: DataFrame, column: str, low=None, high=None) -> DataFrame:
+    """Rows from low to before high; the bounds that moves keep to."""
+    return rows.where(within(F.col(column), low, high, high_open=True))
+
+
+def first(rows: DataFrame, column: str) -> DataFrame:
+    return rows.orderBy(column).limit(1)
+
+
+def last(rows: DataFrame, column: str) -> DataFrame:
+    return rows.orderBy(F.desc(column)).limit(1)
+
+
+def following(rows: DataFrame, column: str, at) -> DataFrame:
+    """The first row after `at`; the one before it is seek(..., forward=False)."""
+    return rows.where(F.col(column) > at).orderBy(column).limit(1)
+
+
 def existing(live: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     """Elements of a batch that are there (for removals, membership, writes that need the element)."""
     return wanted.dropDuplicates(on).join(live.select(*on), on, "left_semi")

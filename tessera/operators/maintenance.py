@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import alive
@@ -54,6 +54,27 @@ def files_to_compact(values: DataFrame, live: DataFrame, on: list[str], dead_sha
     return n.where(F.col("dead") >= F.col("total") * dead_share)
 
 
+def slots_to_collect(ops: DataFrame, live: DataFrame, on: list[str], dead_share: float) -> DataFrame:
+    """slot, total, dead of the slots of which at least dead_share of the operations is dead."""
+    return files_to_compact(ops.withColumn("file", F.col("slot")), live, on, dead_share).withColumnRenamed("file", "slot")
+
+
+def small_files(files: DataFrame, bytes_below: int = SMALL_FILE_BYTES) -> DataFrame:
+    """files (file, bytes) that are small enough to be joined with others."""
+    return files.where(F.col("bytes") < bytes_below)
+
+
+def by_size(files: DataFrame) -> DataFrame:
+    """files with their place, the largest first; a store has few files."""
+    return files.withColumn("place", F.row_number().over(Window.orderBy(F.desc("bytes"), "file")).cast("long"))
+
+
+def flush_size(ops: DataFrame, columns: list[str]) -> DataFrame:
+    """Records and bytes that a flush of each slot would write, before it does."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
+    return ops.groupBy("slot").agg(F.count("*").alias("records"), F.sum(size).cast("long").alias("bytes"))
+
+
 def slot_stats(ops: DataFrame) -> DataFrame:
     """Records, deletes and value bytes by slot; a prefix delete counts ten times in the rate."""
     deletes = F.count_if(F.col("kind") == int(Kind.DELETE)) + 10 * F.count_if(F.col("kind") == int(Kind.PREFIX_DELETE))
@@ -74,6 +95,12 @@ def split_points(records: DataFrame, column: str, parts: int) -> list:
     return list(records.agg(F.percentile_approx(column, at, 10_000).alias("p")).first()["p"] or []) if at else []
 
 
+def split(records: DataFrame, column: str, parts: int) -> DataFrame:
+    """records with page: the number of their range, up to and including its upper bound."""
+    bounds = F.array(*[F.lit(b) for b in split_points(records, column, parts)])
+    return records.withColumn("page", F.size(F.filter(bounds, lambda b: b < F.col(column))))
+
+
 def flush_costs(flushes: DataFrame) -> DataFrame:
     """Mean and last cost of flushes (ts_ms, cost_ms) by day."""
     day = F.floor(F.col("ts_ms") / 86_400_000).cast("long")

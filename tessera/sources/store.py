@@ -11,8 +11,12 @@ and key, so reads of few slots or keys touch few files.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import os
 import re
+import tempfile
 import time
 import uuid
 
@@ -30,6 +34,29 @@ def _barrier() -> Column:
     return ((F.col("kind") == int(Kind.DELETE)) & F.col("subkey").isNull()) | (F.col("kind") == int(Kind.PREFIX_DELETE))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a store below spark.checkpoint.dir, deleted at exit; only a session of one machine may leave that
+    unset (then below /tmp)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: a store needs a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
+    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    _scratch.append(Store(spark, path))
+    return path
+
+
+_scratch: list[Store] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for store in _scratch:
+        with contextlib.suppress(Exception):  # the application may be gone already
+            store._delete(store.root)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
