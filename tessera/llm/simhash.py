@@ -38,6 +38,8 @@ SMALL_GROUP = 32
 STAGE_WORDS = 5
 #: Texts are counted by so many buckets of shingle hashes, added up in so many slices.
 COUNT_BUCKETS, COUNT_SLICES = 1 << 20, 64
+#: Keys (8 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 #: Rounds in which a group of texts is linked through one of them before pairs still apart are listed.
 HUB_ROUNDS = 2
 
@@ -347,6 +349,11 @@ def _proposed(signed: DataFrame) -> DataFrame:
     return same.union(links(classes).join(side("u", "a"), "u").join(side("v", "b"), "v").select("a", "b"))
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows (key, ...) whose key is in keys (key), a written table. Only few keys are broadcast, and counted first."""
+    return rows.join(F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+
+
 def _sets(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     """key, s (its shingles, as bytes) for the texts of keyed with these keys, each once."""
 
@@ -363,11 +370,13 @@ def _sets(keyed: DataFrame, keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["key", "s"])
 
     few = keyed.select("key", "text").mapInArrow(once, "key long, text string")  # a task sends each text once
-    return few.join(keys, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(cut, "key long, s binary")
+    return _with_keys(few, keys).dropDuplicates(["key"]).mapInArrow(cut, "key long, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, as links u, v."""
+    """The pairs (a, b), a written table, whose sets are similar, as links u, v."""
+    keys = common.write_table(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "asked")
+    sets = _with_keys(sets, keys)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -387,7 +396,7 @@ def similar_components(keyed: DataFrame) -> DataFrame:
     posted = common.write_table(postings(keyed, _shingle_counts(signed)), "postings")
     weight = posted.groupBy("key").agg(F.count("*").alias("w"))
     shared = common.write_table(posted.join(weight, "key"), "shared")
-    keys = weight.select("key").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    keys = common.write_table(weight.select("key").union(pairs.select("a")).union(pairs.select("b")).distinct(), "keys")
     sets = common.write_table(_sets(keyed, keys), "sets")
     member = F.struct("key", "n", "pos", "root")
     links, roots = None, None
@@ -404,11 +413,12 @@ def similar_components(keyed: DataFrame) -> DataFrame:
             other, apart = mine.withColumnRenamed("x", "y"), F.col("x.key") < F.col("y.key")
         met = mine.join(other.withColumnRenamed("shingle", "s"), (F.col("shingle") == F.col("s")) & apart & (F.col("x.root") != F.col("y.root")) & _may(F.col("x"), F.col("y")))
         met = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-        met = (met if turn else met.union(pairs)).distinct()
+        met = common.write_table((met if turn else met.union(pairs)).distinct(), "met")
         found = _verified(met, sets)
         links = common.write_table(found if links is None else links.union(found), "links")
+        common.drop_tables(met)
         roots = common.write_table(components(links), "roots")
-    common.drop_tables(signed, pairs, posted, shared, sets, links)
+    common.drop_tables(signed, pairs, posted, shared, keys, sets, links)
     return roots
 
 
