@@ -39,9 +39,9 @@ STAGE_WORDS = 5
 #: Texts are counted by so many buckets of shingle hashes, added up in so many slices.
 COUNT_BUCKETS, COUNT_SLICES = 1 << 20, 64
 #: Keys (8 bytes each) that are broadcast at most; more are joined by shuffle.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 20_000
 #: Rounds in which a group of texts is linked through one of them before pairs still apart are listed.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 _PAIRS = np.zeros((32, 15), np.int64)  # for each syndrome, the 15 two-bit masks that lead to a codeword
 for _s in range(1, 32):
