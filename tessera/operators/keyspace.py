@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import alive, within
@@ -82,6 +82,14 @@ def following(rows: DataFrame, column: str, at) -> DataFrame:
     return rows.where(F.col(column) > at).orderBy(column).limit(1)
 
 
+def observed(rows: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, Observation]:
+    """rows as they are, and what whoever reads them learns once they are read: rows, bytes of these columns, null values."""
+    o = Observation(name)
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(0))
+    nulls = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0))
+    return rows.observe(o, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.sum(nulls), F.lit(0)).cast("long").alias("nulls")), o
+
+
 def existing(live: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     """Elements of a batch that are there (for removals, membership, writes that need the element)."""
     return wanted.dropDuplicates(on).join(live.select(*on), on, "left_semi")

@@ -687,3 +687,42 @@ def page_split(t):
 @query("hash_ops", "SELECT key % 16 AS slot, count(*) AS records, CAST(sum(length(field) + length(value)) AS BIGINT) AS bytes FROM hash_ops GROUP BY 1")
 def flush_size(t):
     return maintenance.flush_size(t.hash_ops().withColumn("slot", F.col("key") % 16), ["field", "value"])
+
+
+# -- headers, shards, statistics of a store ----------------------------------------------------------------------------
+@query(None, """SELECT c_name AS key, CAST(CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 3 END AS INTEGER) AS data_type, c_custkey AS expire_ms, CAST(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size, c_custkey % 2 = 0 AS renewed FROM customer""")
+def meta_set(t):
+    """Headers of hashes; those of even customers get an element and then begin anew as sets, with another element."""
+    c = t.read("customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("expire_ms"))
+    even, store = c.where("expire_ms % 2 = 0"), Store(t.spark, scratch(t.spark))
+    store.set_meta(c, DataType.HASH, now_ms=0)
+    store.set_elements(even.select("key", F.lit("old").alias("subkey")), DataType.HASH, now_ms=0)
+    store.set_meta(even, DataType.SET, now_ms=0, fresh=True)
+    store.set_elements(even.select("key", F.lit("new").alias("subkey")), DataType.SET, now_ms=0)
+    return store.meta().select("key", "data_type", "expire_ms", "size", (F.col("version") > 0).alias("renewed"))
+
+
+@query("hashes", "SELECT 'h' || key AS key, field, value, true AS dealt FROM hashes")
+def rehash_roundtrip(t):
+    store = _stored(t, t.spark)
+    store.compact()
+    dealt = store.rehash(3) == 3 and store.rehash() == 1
+    return store.elements(DataType.HASH).select("key", F.col("subkey").alias("field"), "value", F.lit(dealt).alias("dealt"))
+
+
+@query(None, """SELECT count(*) AS n, CAST(sum(length(CAST(event_id AS VARCHAR)) + length(event_type) + coalesce(length(props), 0)) AS BIGINT) AS bytes,
+CAST(count(*) FILTER (props IS NULL) AS BIGINT) AS nulls FROM events""")
+def iterator_stats(t):
+    rows, seen = keyspace.observed(t.read("events"), "events", ["event_id", "event_type", "props"])
+    rows.write.format("noop").mode("overwrite").save()
+    return t.spark.createDataFrame([(seen.get["n"], seen.get["bytes"], seen.get["nulls"])], "n long, bytes long, nulls long")
+
+
+@query(None, "SELECT c_name AS key, 'v' AS value, true AS folded FROM customer WHERE c_custkey % 2 = 0")
+def read_amplification_flush(t):
+    """Two batches beside no base: an hour later at the latest a flush is due, once."""
+    c, store = t.read("customer").select(F.col("c_name").alias("key"), F.lit("v").alias("value"), "c_custkey"), Store(t.spark, scratch(t.spark))
+    store.set(c, now_ms=0)
+    store.delete(c.where("c_custkey % 2 = 1"), now_ms=0)
+    folded = (store.flush(1) or store.flush(3_600_000)) and not store.flush(9_000_000)
+    return store.strings().select("key", "value", F.lit(folded).alias("folded"))

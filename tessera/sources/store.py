@@ -28,6 +28,9 @@ from ..operators import keyspace, maintenance
 from ..plans import merge
 from ..schema import OPS, DataType, Kind, NotFound, WrongType
 
+#: What rehash() aims at for a file of the base.
+BASE_FILE_BYTES = 256 * 1024 * 1024
+
 
 def _barrier() -> Column:
     """Deletes of a whole key name no subkey."""
@@ -134,10 +137,11 @@ class Store:
         ops.write.partitionBy("slot").parquet(aside)
         self._rename(aside, f"{self.root}/log/batch={name}")
 
-    def write(self, rows: DataFrame, kind: Kind, data_type: DataType = DataType.NONE, now_ms: int | None = None, check: bool = True) -> None:
+    def write(self, rows: DataFrame, kind: Kind, data_type: DataType = DataType.NONE, now_ms: int | None = None, check: bool = True, fresh: bool = False) -> None:
         """Rows (key, and what the kind uses of subkey, value, score, expire_ms) as operations after all there are, in
         order of their seq if they have one. An element that may not be stored is left out. With check, a living key of
-        another type raises WrongType, and a key that has expired at now_ms begins anew."""
+        another type raises WrongType, and a key that has expired at now_ms begins anew; fresh: every key does, whatever
+        its type was."""
         now = int(time.time() * 1000) if now_ms is None else now_ms
         rows = rows.where(valid_element(F.col("subkey"), F.col("value") if "value" in rows.columns else None)) if "subkey" in rows.columns else rows
         last = self.ops().agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
@@ -145,18 +149,23 @@ class Store:
         typed = F.lit(int(data_type)) if data_type != DataType.NONE else F.lit(None).cast("int")
         order = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
         ops = rows.select("key", *extra, F.lit(int(kind)).alias("kind"), typed.alias("data_type"), F.lit(now).alias("op_ms"), (order + F.lit(last + 2)).alias("seq"))
-        if check:
+        if check or fresh:
             held = self.heads().join(rows.select("key").distinct(), "key", "left_semi")
             living = alive(F.col("expire_ms"), now)
-            if data_type != DataType.NONE and held.where(living & (F.col("data_type") != int(data_type))).limit(1).count():
+            if not fresh and data_type != DataType.NONE and held.where(living & (F.col("data_type") != int(data_type))).limit(1).count():
                 raise WrongType
-            dead = held.where(~living).select("slot", "key", F.lit(int(Kind.PREFIX_DELETE)).alias("kind"), F.lit(now).alias("op_ms"), F.lit(last + 1).alias("seq"))
+            dead = held.where(F.lit(fresh) | ~living).select("slot", "key", F.lit(int(Kind.PREFIX_DELETE)).alias("kind"), F.lit(now).alias("op_ms"), F.lit(last + 1).alias("seq"))
             ops = dead.unionByName(ops, allowMissingColumns=True)
         self.append(ops)
 
-    def set(self, rows: DataFrame, **options) -> None:
+    def set(self, rows: DataFrame, data_type: DataType = DataType.STRING, **options) -> None:
         """Strings: key, value, and expire_ms (0: never) if they expire."""
-        self.write(rows if "expire_ms" in rows.columns else rows.withColumn("expire_ms", F.lit(0).cast("long")), Kind.SET, DataType.STRING, **options)
+        self.write(rows if "expire_ms" in rows.columns else rows.withColumn("expire_ms", F.lit(0).cast("long")), Kind.SET, data_type, **options)
+
+    def set_meta(self, rows: DataFrame, data_type: DataType, **options) -> None:
+        """Headers of collections: key, and expire_ms (0: never) if they expire. The key is there with this type even while
+        it has no element; sizes and bounds are counted from the elements. With fresh=True it begins a new version."""
+        self.set(rows.select("key", *(["expire_ms"] if "expire_ms" in rows.columns else [])), data_type=data_type, **options)
 
     def set_elements(self, rows: DataFrame, data_type: DataType, **options) -> None:
         """Elements of hashes (key, subkey, value), sets (key, subkey), sorted sets (key, subkey, score), lists (key,
@@ -271,6 +280,38 @@ class Store:
         known = [n for n in entry["covers"] if n in there or not re.fullmatch(r"[0-9a-f]{32}", n)]  # a named batch may come again
         self._commit(entry, base=folder, covers=sorted({*known, *covers}))
 
+    def flush_due(self, now_ms: int) -> bool:
+        """Whether reads have come to touch too much log beside the base: many records, many deletes (one of a whole
+        collection counts ten times) or several batches of which the oldest operation is an hour old."""
+        names = self._batches(self._current())
+        if not names:
+            return False
+        deletes = F.count_if(F.col("kind") == int(Kind.DELETE)) + 10 * F.count_if(F.col("kind") == int(Kind.PREFIX_DELETE))
+        r = self._log(names).agg(F.count("*").alias("n"), deletes.alias("deletes"), F.min("op_ms").alias("oldest")).first()
+        age = 0 if r["oldest"] is None else (now_ms - r["oldest"]) // 1000
+        return maintenance.needs_flush(r["n"], r["deletes"], age, len(names))
+
+    def flush(self, now_ms: int) -> bool:
+        """Fold the log into a new base if that is due; whether it was."""
+        due = self.flush_due(now_ms)
+        if due:
+            self.compact()
+        return due
+
+    def rehash(self, files: int | None = None) -> int:
+        """Deal the base anew over so many files, or one for each BASE_FILE_BYTES of it; nothing that a read returns changes.
+        How many there are now (0: there is no base)."""
+        entry = self._current()
+        if not entry["base"]:
+            return 0
+        fs, p = self._fs(entry["base"])
+        n = files or max(1, -(-fs.getContentSummary(p).getLength() // BASE_FILE_BYTES))
+        folder = f"{self.root}/base-{uuid.uuid4().hex}"
+        base = self.spark.read.schema(OPS).parquet(entry["base"])
+        base.repartitionByRange(n, "slot", "key").sortWithinPartitions("slot", "key", "subkey").write.parquet(folder)
+        self._commit(entry, base=folder)
+        return n
+
     def sweep(self, now_ms: int) -> DataFrame:
         """Delete keys whose sweep bucket has passed since the sweep before, whenever that was, and note how far it came; the
         keys that went."""

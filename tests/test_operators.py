@@ -296,6 +296,25 @@ def test_typed_writes_and_meta(spark, tmp_path):
     assert set(metas()) == {"t", "h", "b", "l"} and metas()["b"][2] == 1
 
 
+def test_headers_and_flushes(spark, tmp_path):
+    store, again = Store(spark, f"file://{tmp_path}/s"), Store(spark, f"file://{tmp_path}/s")
+    metas = lambda: {r["key"]: (r["data_type"], r["expire_ms"], r["size"]) for r in again.meta().collect()}
+    keys = spark.createDataFrame([("h", 500), ("i", 0)], "key string, expire_ms long")
+    store.set_meta(keys, DataType.HASH, now_ms=1)
+    assert metas() == {"h": (3, 500, 0), "i": (3, 0, 0)} and store.rehash() == 0
+    store.set_elements(spark.createDataFrame([("h", "f", "1")], "key string, subkey string, value string"), DataType.HASH, now_ms=1)
+    with pytest.raises(WrongType):
+        store.set_meta(keys, DataType.SET, now_ms=1)
+    assert not store.flush(2) and store.flush(3_600_002) and not store.flush(3_600_002)
+    assert store.rehash(2) == 2 and store.vacuum() == 1
+    assert metas()["i"] == (3, 0, 0) and metas()["h"][0::2] == (3, 1)
+    store.set_meta(keys.where("key = 'h'"), DataType.SET, now_ms=1, fresh=True)
+    assert metas()["h"] == (5, 500, 0) and store.elements(DataType.HASH).count() == 0
+    many = spark.range(1000).select(F.lit("z").alias("key"), F.col("id").cast("string").alias("subkey"))
+    store.delete_elements(many, DataType.ZSET, now_ms=3)
+    assert store.flush(4)  # nearly all of it deletes
+
+
 def test_sweeps_catch_up(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.append(spark.createDataFrame([op(i, f"k{i}", expire=0 if i == 7 else i * 1_000_000) for i in range(1, 8)], COLUMNS))
