@@ -8,7 +8,8 @@ If something is left, the pair is tried again with a larger sketch: as many time
 shards by digest, and again larger for the shards that fail. Likeness is |A and B| / |A or B| over digests.
 
 DataFrame functions only. Neighbours in descending order of ids come from a window in each range of ids; a copy of the
-first row of each range goes to the range before it (of the first range: to the last), so no task sees all rows.
+first row of each range goes to the range before it (of the first range: to the last), so no task sees all rows; the
+number of ranges grows with the bytes of text.
 
 Defined results: a null text counts as empty, and an empty text has one empty paragraph; of rows with equal ids the next
 one by text follows, null ids come last; one document is its own next; an empty table gives an empty result; other
@@ -17,6 +18,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ CELLS = GROUPS * GROUP_CELLS
 #: Peeling rounds at most; digests of both sides that a shard of a retry should hold; retries before plain set difference.
 ROUNDS, SHARD_KEYS, RETRIES = 16, 8, 6
 _CHECK_SALT = 77
+#: Bytes of text in a range of ids; the driver holds a bound and a row for each range.
+RANGE_BYTES = 128 * 1024 * 1024
 
 
 def digests(text: Column) -> Column:
@@ -110,13 +115,28 @@ def text_form(cells: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(cells, lambda x: F.concat(width(x["n"], 2), width(x["k"], 16), width(x["c"], 8))), "")))
 
 
+def _above(x: Column, bounds: list[int]) -> Column:
+    """How many of the bounds, which ascend, are above x: by bisection in one constant array."""
+    held = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        above = F.get(held, mid) > x
+        halved = F.struct(F.when(above, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(above, mid).otherwise(s["hi"]).alias("hi"))
+        return F.when(s["lo"] < s["hi"], halved).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, step, lambda s: F.lit(len(bounds)) - s["lo"])
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, keys of every row, and next_text, next_keys of the row after it in descending order of ids."""
     spark = docs.sparkSession
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(few, -(-(t.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     bounds = sorted(set(t.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)))
-    part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>"), lambda b: b > F.col("doc_id")))
+    part = _above(F.col("doc_id"), [int(b) for b in bounds])
     part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(part)
     t = t.withColumn("part", part)
     tops = [(r["part"], r["top"]) for r in t.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()]  # a row for each range
@@ -124,6 +144,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     after = F.broadcast(spark.createDataFrame(ghosts, "before int, top long"))
     copies = t.join(after, F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", F.col("before").alias("part"), F.lit(1).alias("ghost"))
     rows = t.select("doc_id", "text", "part", F.lit(0).alias("ghost")).union(copies).withColumn("keys", digests(F.col("text")))
+    if n > few:
+        rows = rows.repartition(n, "part")  # as many tasks as ranges, however few partitions the session has
     w = Window.partitionBy("part").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
     led = rows.withColumns({"next_text": F.lead("text").over(w), "next_keys": F.lead("keys").over(w)})
     return led.where("ghost = 0").select("doc_id", "text", "keys", "next_text", "next_keys")

@@ -47,6 +47,18 @@ def test_fingerprints(docs):
     assert len(prints[len(dict(ROWS)[40]), True]) == 1  # equal texts, equal fingerprints
 
 
+def test_more_ranges_change_nothing(docs, monkeypatch):
+    before = sorted(map(repr, fingerprint.fingerprints(docs).collect()))
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", max(1, sum(len((t or "").encode()) for _, t in ROWS) // 60))
+    assert sorted(map(repr, fingerprint.fingerprints(docs).collect())) == before
+
+
+@pytest.mark.parametrize("bounds", [[], [5], [1, 5, 9], list(range(-50, 50, 7))])
+def test_ranges_by_bisection(spark, bounds):
+    got = spark.range(-60, 60).select("id", fingerprint._above(F.col("id"), bounds).alias("n")).collect()
+    assert [r["n"] for r in got] == [sum(b > r["id"] for b in bounds) for r in got]
+
+
 def test_fingerprints_of_nothing(no_docs):
     assert fingerprint.fingerprints(no_docs).count() == 0
 
