@@ -356,6 +356,14 @@ def test_stream_into_store(spark, tmp_path):
     assert rows(store.elements(DataType.HASH), "key", "subkey", "value") == model(a + b)
 
 
+def test_stream_flushes_when_due(spark, tmp_path):
+    src, store = f"file://{tmp_path}/src", Store(spark, f"file://{tmp_path}/s")
+    spark.createDataFrame([op(i, f"k{i}", None, 0) for i in range(1, 1001)], COLUMNS).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    ingest.into_store(stream, store, f"file://{tmp_path}/ck", flush=True).awaitTermination()
+    assert store._current()["base"] and store._batches(store._current()) == [] and store.strings().count() == 0
+
+
 def test_expiry_stream(spark, tmp_path):
     src = f"file://{tmp_path}/src"
     spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id, 0) AS ts, IF(id % 2 = 0, 0, 1704067200000 + id * 1000) AS expire_ms FROM range(60)").write.parquet(src)
