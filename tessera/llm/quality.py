@@ -110,35 +110,52 @@ class Model:
         return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, parts)))
 
 
+def _rounds(found: Column, k: int) -> Column:
+    """Expectation-maximisation on found, an array of structs v (k votes, each plus one) and n: a struct of the rounds' last
+    sums (all, good, by rule and vote the rows `hits` and of them the good ones `hits_good`)."""
+    each = F.sequence(F.lit(0), F.lit(3 * k - 1))  # by rule and vote
+    by_vote = lambda rows, n, zero: F.transform(each, lambda j: F.aggregate(rows, zero, lambda a, x: a + F.when(F.get(x["v"], F.floor(j / 3).cast("int")) == j % 3, x[n]).otherwise(zero)))
+    against = lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + F.when(x == BAD + 1, 1).otherwise(0))
+    start = F.transform(found, lambda x: 1 / (1 + F.exp((4 * against(x["v"]) - 2).cast("double"))))
+
+    def likelier(prior: Column, odds: Column) -> Column:
+        own = lambda v: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.log(prior / (1 - prior)), lambda a, i: a + F.get(odds, 3 * i + F.get(v, i)))
+        return F.transform(found, lambda x: 1 / (1 + F.exp(-own(x["v"]))))
+
+    def turn(s: Column, total: Column, hits: Column) -> Column:
+        def done(rows: Column, g: Column, hg: Column) -> Column:
+            prior = (g + 1) / (total + 2)
+            odds = F.zip_with(hits, hg, lambda a, x: F.log(((x + 1) / (g + 3)) / ((F.greatest(a - x, F.lit(0.0)) + 1) / (total - g + 3))))
+            good = common.let(odds, lambda o: likelier(prior, o))
+            settled = F.coalesce(F.abs(prior - s["prior"]) < SETTLED, F.lit(False))
+            return F.struct(good.alias("good"), prior.alias("prior"), g.alias("g"), hg.alias("hg"), settled.alias("settled"))
+
+        rows = F.zip_with(found, s["good"], lambda x, p: F.struct(x["v"].alias("v"), (x["n"] * p).alias("w")))
+        whole = lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x["w"])
+        return F.when(s["settled"], s).otherwise(common.let(rows, lambda r: common.let(whole(r), lambda g: common.let(by_vote(r, "w", F.lit(0.0)), lambda hg: done(r, g, hg)))))
+
+    def all_(total: Column, hits: Column) -> Column:
+        none = F.struct(start.alias("good"), F.lit(None).cast("double").alias("prior"), F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("hg"), F.lit(False).alias("settled"))
+        s = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), none, lambda s, _: turn(s, total, hits))
+        return common.let(s, lambda s: F.struct(total.alias("all"), s["g"].alias("good"), hits.alias("hits"), s["hg"].alias("hits_good")))
+
+    total = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return common.let(total, lambda t: common.let(by_vote(found, "n", F.lit(0).cast("long")), lambda h: all_(t, h)))
+
+
 def fit(patterns: DataFrame, names: list[str]) -> Model:
     """Expectation-maximisation on vote patterns (columns names, n). Starts from the number of rules against, which
-    also fixes which class is the good one; each round is one aggregate over the patterns."""
-    vote = {k: F.col(k) for k in names}
-    against = reduce(lambda a, b: a + b, [F.when(v == BAD, 1).otherwise(0) for v in vote.values()])
-    good = 1 / (1 + F.exp((4 * against - 2).cast("double")))
-    last, model = None, None
-    for _ in range(ROUNDS):
-        p = patterns.withColumn("__p", good)
-        sums = [F.sum(F.col("__p") * F.col("n")).alias("good"), F.sum("n").alias("all")]
-        for k in names:
-            for x in (BAD, 0, GOOD):
-                hit = F.when(F.col(k) == x, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * F.col("__p")).alias(f"{k}|{x}|g"), F.sum(hit).alias(f"{k}|{x}|a")]
-        s = p.agg(*sums).first()
-        total = s["all"] or 0
-        g = s["good"] or 0.0
-        prior = (g + 1) / (total + 2)
-        given = {}
-        for k in names:
-            given[k] = {}
-            for x in (BAD, 0, GOOD):
-                hg, ha = s[f"{k}|{x}|g"] or 0.0, s[f"{k}|{x}|a"] or 0
-                given[k][x] = ((hg + 1) / (g + 3), (max(ha - hg, 0.0) + 1) / (total - g + 3))
-        model = Model(prior, given)
-        if last is not None and abs(prior - last) < SETTLED:
-            break
-        last, good = prior, model.posterior(vote)
-    return model
+    also fixes which class is the good one. All rounds are one expression over the gathered patterns: a plan of its own
+    for each would cost the driver far more memory and time than the sums do."""
+    found = F.struct(F.array(*[(F.col(k) + 1).cast("int") for k in names]).alias("v"), F.col("n").cast("long").alias("n"))
+    one = patterns.coalesce(1).agg(F.sort_array(F.collect_list(found)).alias("found"))
+    s = one.select(_rounds(F.col("found"), len(names)).alias("s")).first()["s"]
+    total, g = s["all"], s["good"]
+    given = {}
+    for i, k in enumerate(names):
+        own = list(zip((BAD, 0, GOOD), s["hits"][3 * i :], s["hits_good"][3 * i :]))
+        given[k] = {x: ((hg + 1) / (g + 3), (max(ha - hg, 0.0) + 1) / (total - g + 3)) for x, ha, hg in own}
+    return Model((g + 1) / (total + 2), given)
 
 
 def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -180,12 +180,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round is written to the shared folder; the number of edges never grows. Stops when a round changes nothing;
     raises if most_rounds do not suffice (they are logarithmic in the size, so that would be a fault).
     """
-    e = common.write_table(edges.select("u", "v"), "edges")
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def written(df: DataFrame) -> tuple[DataFrame, dict]:
+        """The table and its mark, which the write itself yields."""
+        seen = Observation()
+        marked = df.select("u", "v").observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        return common.write_table(marked, "edges"), seen.get
 
-    last = None
+    e, last = written(edges)
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -199,8 +201,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .where("u != v")
             .distinct()
         )
-        new = common.write_table(small, "edges")
-        now = mark(new)
+        new, now = written(small)
         common.drop_table(e)
         e = new
         if now == last:
@@ -399,7 +400,7 @@ def similar_components(keyed: DataFrame) -> DataFrame:
     keys = common.write_table(weight.select("key").union(pairs.select("a")).union(pairs.select("b")).distinct(), "keys")
     sets = common.write_table(_sets(keyed, keys), "sets")
     member = F.struct("key", "n", "pos", "root")
-    links, roots = None, None
+    roots = None
     for turn in range(HUB_ROUNDS + 1):
         rooted = shared.withColumn("root", F.col("key")) if roots is None else shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         # a hub for all: first the text that shares most, then any; its hash is the same in every group that it is in
@@ -415,10 +416,11 @@ def similar_components(keyed: DataFrame) -> DataFrame:
         met = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
         met = common.write_table((met if turn else met.union(pairs)).distinct(), "met")
         found = _verified(met, sets)
-        links = common.write_table(found if links is None else links.union(found), "links")
-        common.drop_tables(met)
+        # what is linked so far is as many links as it has texts: each with its root
+        links = found if roots is None else found.union(roots.where("node != root").select("node", "root"))
         roots = common.write_table(components(links), "roots")
-    common.drop_tables(signed, pairs, posted, shared, keys, sets, links)
+        common.drop_tables(met)
+    common.drop_tables(signed, pairs, posted, shared, keys, sets)
     return roots
 
 

@@ -259,6 +259,32 @@ def test_label_model_finds_the_better_rules(spark):
     assert right > 0.95 * 4000
 
 
+def test_label_model_rounds_are_one_job(spark):
+    """Not a plan for each round, which fills the driver's memory; and the rounds in whole: by the formula."""
+    r = random.Random(7)
+    rows = [(*v, r.randrange(1, 60)) for v in [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)][:25]]
+    df = spark.createDataFrame(rows, "a int, b int, c int, n long")
+    sc = spark.sparkContext
+    sc.setJobGroup("label_model", "")
+    m = quality.fit(df, list("abc"))
+    jobs = len(sc.statusTracker().getJobIdsForGroup("label_model"))
+    sc.setJobGroup("", "")
+    assert jobs == 1
+    total, last = sum(x[3] for x in rows), None
+    p = [1 / (1 + math.exp(4 * sum(v == quality.BAD for v in x[:3]) - 2)) for x in rows]
+    for _ in range(quality.ROUNDS):
+        g = sum(q * x[3] for q, x in zip(p, rows))
+        prior, given = (g + 1) / (total + 2), []
+        for i in range(3):
+            hits = {v: [(x[3], q * x[3]) for x, q in zip(rows, p) if x[i] == v] for v in (-1, 0, 1)}
+            given.append({v: ((sum(b for _, b in h) + 1) / (g + 3), (max(sum(a for a, _ in h) - sum(b for _, b in h), 0) + 1) / (total - g + 3)) for v, h in hits.items()})
+        if last is not None and abs(prior - last) < quality.SETTLED:
+            break
+        last = prior
+        p = [1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(math.log(given[i][x[i]][0] / given[i][x[i]][1]) for i in range(3)))) for x in rows]
+    assert abs(m.prior - prior) < 1e-9 and all(abs(m.given[k][v][c] - given[i][v][c]) < 1e-9 for i, k in enumerate("abc") for v in (-1, 0, 1) for c in (0, 1))
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------
 def test_places_minimise_the_sum_of_squares():
     r = random.Random(4)
@@ -592,6 +618,15 @@ def test_links_lose_no_neighbour(spark):
     assert groups(got) == {frozenset(map(signed, g)) for g in groups(want) if len(g) > 1}
 
 
+def test_settled_links_take_one_round(spark, monkeypatch):
+    """Links that are stars already are written and gone through once; without links there are no components."""
+    names, write = [], simhash.common.write_table
+    monkeypatch.setattr(simhash.common, "write_table", lambda df, name="t", *a: names.append(name) or write(df, name, *a))
+    stars = spark.createDataFrame([(5, 1), (7, 1), (9, 2)], "u long, v long")
+    assert {tuple(x) for x in simhash.components(stars).collect()} == {(1, 1), (5, 1), (7, 1), (2, 2), (9, 2)} and len(names) == 2
+    assert simhash.components(stars.where("u < 0").distinct()).count() == 0
+
+
 def test_anchors_cover():
     r = random.Random(11)
     for _ in range(200):
