@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     common.ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), schema)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -120,7 +120,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     common.ship(found.sparkSession)
     dealt = found.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32", "length"))
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    return dealt.mapInArrow(run, f"{names}, sequence_id long, offset long")
+    return dealt.mapInArrow(common.lean(run), f"{names}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:

@@ -282,7 +282,7 @@ def _signatures(keyed: DataFrame) -> DataFrame:
             yield batch(keys, [seen[k] for k in keys], [None] * len(keys), [None] * len(keys))
         yield batch([None] * COUNT_SLICES, [None] * COUNT_SLICES, range(COUNT_SLICES), [x.tobytes() for x in total.reshape(-1, width)])
 
-    return keyed.select("key", "text").mapInArrow(run, "key long, fp long, slice int, n binary")
+    return keyed.select("key", "text").mapInArrow(common.lean(run), "key long, fp long, slice int, n binary")
 
 
 def _shingle_counts(signed: DataFrame) -> np.ndarray:
@@ -332,7 +332,7 @@ def postings(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["shingle", "key", "n", "pos"])
 
-    posts = keyed.select("key", "text").mapInArrow(spread, "shingle long, key long, n int, pos int")
+    posts = keyed.select("key", "text").mapInArrow(common.lean(spread), "shingle long, key long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     posts = posts.repartition(parts, "shingle").dropDuplicates(["shingle", "key"])  # equal texts in several tasks
     w = Window.partitionBy("shingle").orderBy("n", "key")
@@ -371,7 +371,7 @@ def _sets(keyed: DataFrame, keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["key", "s"])
 
     few = keyed.select("key", "text").mapInArrow(once, "key long, text string")  # a task sends each text once
-    return _with_keys(few, keys).dropDuplicates(["key"]).mapInArrow(cut, "key long, s binary")
+    return _with_keys(few, keys).dropDuplicates(["key"]).mapInArrow(common.lean(cut), "key long, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -386,7 +386,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([b[i] for i in hit], pa.int64()), pa.array([a[i] for i in hit], pa.int64())], names=["u", "v"])
 
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "u long, v long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(common.lean(check), "u long, v long")
 
 
 def similar_components(keyed: DataFrame) -> DataFrame:

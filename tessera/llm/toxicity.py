@@ -83,7 +83,7 @@ def _mine(sample: DataFrame) -> list[tuple[int, str, str, int, int]]:
 
     halves = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
     sizes = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy(halves, "toxic").agg(F.count("*").alias("n")).collect()}
-    sums = sample.select(halves, "text", "toxic").mapInArrow(run, "half int, toxic int, kind string, entry string, n long")
+    sums = sample.select(halves, "text", "toxic").mapInArrow(common.lean(run), "half int, toxic int, kind string, entry string, n long")
     sums = sums.groupBy("half", "kind", "entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("c"))
     sums = common.write_table(sums.where("t >= 2"), "entries")
     out = []
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
             given = [votes(t, f, y, lexicons) for t, f, y in zip(texts, found, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(given, pa.list_(pa.int8()))], names=["h", "x", "v"])
 
-    rows = sample.select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic").mapInArrow(run, "h long, x array<int>, v array<tinyint>").orderBy("h").limit(TRAIN_ROWS).toArrow()
+    rows = sample.select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic").mapInArrow(common.lean(run), "h long, x array<int>, v array<tinyint>").orderBy("h").limit(TRAIN_ROWS).toArrow()
     posterior = label_model(np.array(rows.column("v").to_pylist(), float), 0)
     return Scorer(features, *train_linear(rows.column("x").to_pylist(), posterior, len(number)))
 
@@ -240,7 +240,7 @@ def _scored(docs: DataFrame, scorer: Scorer | None, row: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["row", "score"])
 
     common.ship(docs.sparkSession)
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(common.lean(run), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def scores(docs: DataFrame, scorer: Scorer | None) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -301,6 +302,30 @@ def test_places_minimise_the_sum_of_squares():
             assert gaps[b] >= 0 and square(gaps) == best
 
 
+def test_packing_leaves_its_worker_small(spark):
+    """What a task of many texts has freed isn't kept by the process, which Spark uses again."""
+
+    class Asked:
+        sparkSession = spark
+        select = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    run = packing.pieces(Asked())
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(50_000))
+    batches = lambda n: (pa.RecordBatch.from_arrays([pa.array([i]), pa.array([text() * 10])], names=["doc_id", "text"]) for i in range(n))
+    assert len(list(run(batches(1)))) == 1
+    before = held()
+    assert sum(b.num_rows for b in run(batches(16))) > 16
+    assert held() - before < 100
+
+
 def test_packing(docs, no_docs):
     lib, want = library(), Counter()
     for d, t in ROWS:
