@@ -31,11 +31,12 @@ def incarnations(ops: DataFrame, barrier: Column, keys: list[str], seq: str = "s
     return ops.withColumn("version", F.sum(F.when(barrier, 1).otherwise(0)).over(w).cast("long"))
 
 
-def current(ops: DataFrame, barrier: Column, keys: list[str], seq: str = "seq") -> DataFrame:
-    """Records after the last barrier of their key: barriers are few, so their maxima are joined to the records, which
-    need no window."""
+def current(ops: DataFrame, barrier: Column, keys: list[str], seq: str = "seq", version: str | None = None) -> DataFrame:
+    """Records after the last barrier of their key, with its seq in `version` (null: there is none) if that is named:
+    barriers are few, so their maxima are joined to the records, which need no window."""
     last = ops.where(barrier).groupBy(*keys).agg(F.max(seq).alias("__last"))
-    return ops.join(last, keys, "left").where(F.col("__last").isNull() | (F.col(seq) > F.col("__last"))).drop("__last")
+    rows = ops.join(last, keys, "left").where(F.col("__last").isNull() | (F.col(seq) > F.col("__last")))
+    return rows.withColumnRenamed("__last", version) if version else rows.drop("__last")
 
 
 def drop_prefix_deleted(records: DataFrame, prefix_deletes: DataFrame, on: list[str]) -> DataFrame:

@@ -1,12 +1,12 @@
 """A keyed store on Parquet folders: a log of operations, a compacted base, snapshots.
 
-Layout below the root: `log/batch=<name>/slot=N/` (appended operations), `base-<id>/` (compacted operations) and `manifest/`
+Layout below the root: `log/batch=<name>/` (appended operations), `base-<id>/` (compacted operations) and `manifest/`
 (a JSON file for each commit, named by its number: its base and the log batches that the base covers). A batch is written
 aside and renamed, a base is written aside and becomes current by its manifest file alone, so what fails halfway changes
 nothing and readers of an older commit aren't disturbed until vacuum(). A read takes the base and the batches it doesn't
 cover, whatever their sequence numbers: an operation that comes late or twice counts as it would have in time, for a
-base keeps the newest tombstones and barriers. Log batches are partitioned by slot and base files dealt by range of slot
-and key, so reads of few slots or keys touch few files.
+base keeps the newest tombstones and barriers. Log files are as many as their bytes call for, dealt and sorted by slot, and
+base files dealt by range of slot and key, so reads of few slots or keys touch few files or few pages of them.
 """
 
 from __future__ import annotations
@@ -120,7 +120,13 @@ class Store:
         return [n for n in self._logged() if n not in covered]
 
     def _log(self, names: list[str]) -> DataFrame:
-        return self.spark.read.schema(OPS).option("basePath", f"{self.root}/log").parquet(*(f"{self.root}/log/batch={n}" for n in names)).select(*OPS.names)
+        by_slot = [n for n in names if any(x.startswith("slot=") for x in self._names(f"log/batch={n}"))]  # as batches were once written
+        tiers = []
+        if by_slot:
+            tiers.append(self.spark.read.schema(OPS).option("basePath", f"{self.root}/log").parquet(*(f"{self.root}/log/batch={n}" for n in by_slot)).select(*OPS.names))
+        if plain := [n for n in names if n not in by_slot]:
+            tiers.append(self.spark.read.schema(OPS).parquet(*(f"{self.root}/log/batch={n}" for n in plain)).select(*OPS.names))
+        return merge.merge_tiers(*tiers)
 
     # -- writes --------------------------------------------------------------------------------------------------------
     def append(self, ops: DataFrame, batch: str | None = None) -> None:
@@ -134,7 +140,7 @@ class Store:
                 ops = ops.withColumn(f.name, F.lit(None).cast(f.dataType))
         ops = ops.select(*[F.col(f.name).cast(f.dataType) for f in OPS.fields]).withColumn("slot", F.coalesce("slot", slot_of(F.col("key"))))
         aside = f"{self.root}/log/.{name}-{uuid.uuid4().hex}"
-        ops.write.partitionBy("slot").parquet(aside)
+        ops.hint("rebalance", F.col("slot")).sortWithinPartitions("slot").write.parquet(aside)
         self._rename(aside, f"{self.root}/log/batch={name}")
 
     def write(self, rows: DataFrame, kind: Kind, data_type: DataType = DataType.NONE, now_ms: int | None = None, check: bool = True, fresh: bool = False) -> None:
@@ -152,10 +158,16 @@ class Store:
         if check or fresh:
             held = self.heads().join(rows.select("key").distinct(), "key", "left_semi")
             living = alive(F.col("expire_ms"), now)
-            if not fresh and data_type != DataType.NONE and held.where(living & (F.col("data_type") != int(data_type))).limit(1).count():
-                raise WrongType
-            dead = held.where(F.lit(fresh) | ~living).select("slot", "key", F.lit(int(Kind.PREFIX_DELETE)).alias("kind"), F.lit(now).alias("op_ms"), F.lit(last + 1).alias("seq"))
-            ops = dead.unionByName(ops, allowMissingColumns=True)
+            anew = fresh
+            if not fresh:  # one look for both, as few batches have a key that begins anew
+                other = F.lit(False) if data_type == DataType.NONE else F.coalesce(living & (F.col("data_type") != int(data_type)), F.lit(False))
+                found = held.agg(F.max(other).alias("wrong"), F.max(~living).alias("anew")).first()
+                anew = bool(found["anew"])
+                if found["wrong"]:
+                    raise WrongType
+            if anew:
+                dead = held.where(F.lit(fresh) | ~living).select("slot", "key", F.lit(int(Kind.PREFIX_DELETE)).alias("kind"), F.lit(now).alias("op_ms"), F.lit(last + 1).alias("seq"))
+                ops = dead.unionByName(ops, allowMissingColumns=True)
         self.append(ops)
 
     def set(self, rows: DataFrame, data_type: DataType = DataType.STRING, **options) -> None:
@@ -218,23 +230,23 @@ class Store:
 
     def heads(self) -> DataFrame:
         """slot, key, data_type, expire_ms (0: never) of every key that isn't deleted."""
-        state = self._of_current(F.lit(True))
-        living = merge.live(state.where(F.col("kind") != int(Kind.EXPIRE_AT)), ["slot", "key", "subkey"])
-        types = living.groupBy("slot", "key").agg(F.max_by("data_type", "seq").alias("data_type"))
-        expiry = state.where("expire_ms IS NOT NULL").groupBy("slot", "key").agg(F.max_by("expire_ms", "seq").alias("expire_ms"))
-        return types.join(expiry, ["slot", "key"], "left").withColumn("expire_ms", F.coalesce("expire_ms", F.lit(0).cast("long")))
+        return self._keys().select("slot", "key", "data_type", "expire_ms")
 
     def meta(self) -> DataFrame:
         """slot, key, data_type, expire_ms, version (that of the incarnation: the seq of the delete before it, or 0), size
         (elements; null for strings), lindex, rindex (first and last position of a list) of every key, in one read."""
-        ops = self.ops()
-        version = ops.where(_barrier()).groupBy("slot", "key").agg(F.max("seq").alias("version"))
-        rows = merge.live(self._of_current(F.col("subkey").isNotNull()), ["slot", "key", "subkey"])
+        size = F.when(F.col("data_type") != int(DataType.STRING), F.col("size"))
+        return self._keys().select("slot", "key", "data_type", "expire_ms", F.coalesce("version", F.lit(0)).alias("version"), size.alias("size"), "lindex", "rindex")
+
+    def _keys(self) -> DataFrame:
+        """Every key that isn't deleted: one aggregate of its living rows beside one of its expiries. What isn't asked for is
+        pruned."""
+        state = merge.current(self.ops(), _barrier(), ["slot", "key"], version="version")
+        living = merge.live(state.where(F.col("kind") != int(Kind.EXPIRE_AT)), ["slot", "key", "subkey"])
         at = F.when(F.col("data_type") == int(DataType.LIST), F.col("subkey").cast("long"))
-        sizes = rows.groupBy("slot", "key").agg(F.count("*").alias("size"), F.min(at).alias("lindex"), F.max(at).alias("rindex"))
-        out = self.heads().join(version, ["slot", "key"], "left").join(sizes, ["slot", "key"], "left")
-        size = F.when(F.col("data_type") != int(DataType.STRING), F.coalesce("size", F.lit(0)))
-        return out.select("slot", "key", "data_type", "expire_ms", F.coalesce("version", F.lit(0)).alias("version"), size.alias("size"), "lindex", "rindex")
+        types = living.groupBy("slot", "key").agg(F.max_by("data_type", "seq").alias("data_type"), F.max("version").alias("version"), F.count("subkey").alias("size"), F.min(at).alias("lindex"), F.max(at).alias("rindex"))
+        expiry = state.where("expire_ms IS NOT NULL").groupBy("slot", "key").agg(F.max_by("expire_ms", "seq").alias("expire_ms"))
+        return types.join(expiry, ["slot", "key"], "left").withColumn("expire_ms", F.coalesce("expire_ms", F.lit(0).cast("long")))
 
     def check_type(self, key: str, data_type: DataType) -> None:
         """Raises NotFound or WrongType as point operations do."""
@@ -248,7 +260,7 @@ class Store:
         return keyspace.scan(self.heads(), now_ms, **options)
 
     def export(self, slot: int) -> DataFrame:
-        """The operations of one slot; of the log only its folders are read."""
+        """The operations of one slot; of each file only the pages that its statistics don't rule out are read."""
         return self.ops().where(F.col("slot") == slot)
 
     # -- upkeep --------------------------------------------------------------------------------------------------------

@@ -315,6 +315,20 @@ def test_headers_and_flushes(spark, tmp_path):
     assert store.flush(4)  # nearly all of it deletes
 
 
+def test_batches_are_few_files(spark, tmp_path):
+    """Not one for each slot and task; batches that were dealt into a folder for each slot are read beside them."""
+    store = Store(spark, f"file://{tmp_path}/s")
+    keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(0).cast("long").alias("expire_ms")).repartition(16)
+    store.set_meta(keys, DataType.HASH, now_ms=1)
+    store.set_elements(keys.select("key", F.lit("f").alias("subkey")), DataType.HASH, now_ms=1)
+    assert len(list(tmp_path.rglob("batch=*/**/*.parquet"))) <= 16
+    old = Store(spark, f"file://{tmp_path}/old")
+    store._log(store._logged()).write.partitionBy("slot").parquet(f"file://{tmp_path}/old/log/batch=old")
+    assert {(r["key"], r["data_type"], r["size"]) for r in old.meta().collect()} == {(f"k{i}", 3, 1) for i in range(4000)}
+    old.set_elements(keys.where("key = 'k7'").select("key", F.lit("g").alias("subkey")), DataType.HASH, now_ms=1)
+    assert old.meta().agg(F.sum("size")).first()[0] == 4001
+
+
 def test_sweeps_catch_up(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.append(spark.createDataFrame([op(i, f"k{i}", expire=0 if i == 7 else i * 1_000_000) for i in range(1, 8)], COLUMNS))
