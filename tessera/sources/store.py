@@ -30,6 +30,8 @@ from ..schema import OPS, DataType, Kind, NotFound, WrongType
 
 #: What rehash() aims at for a file of the base.
 BASE_FILE_BYTES = 256 * 1024 * 1024
+#: Stored bytes that a task sorts; in memory they are some twenty times as many.
+PIECE_BYTES = 16 * 1024 * 1024
 
 
 def _barrier() -> Column:
@@ -128,6 +130,36 @@ class Store:
             tiers.append(self.spark.read.schema(OPS).parquet(*(f"{self.root}/log/batch={n}" for n in plain)).select(*OPS.names))
         return merge.merge_tiers(*tiers)
 
+    def _bytes(self, *paths: str) -> int:
+        return sum(fs.getContentSummary(p).getLength() for fs, p in map(self._fs, paths) if fs.exists(p))
+
+    def _held_bytes(self, entry: dict) -> int:
+        """What ops() reads."""
+        return self._bytes(*([entry["base"]] if entry["base"] else []), *(f"{self.root}/log/batch={n}" for n in self._batches(entry)))
+
+    def _deal(self, ops: DataFrame, files: int, size: int, folder: str) -> None:
+        """ops, of this many bytes as stored, as so many files, dealt by range of slot and key and sorted. A file that is more
+        than a task is to sort is put together from neighbouring pieces, each sorted, in whatever order."""
+        pieces, order = -(-size // PIECE_BYTES), ["slot", "key", "subkey"]
+        if pieces <= files:
+            dealt = ops.repartitionByRange(files, "slot", "key").sortWithinPartitions(*order)
+        else:
+            runs = ops.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
+            at = F.floor(F.spark_partition_id() * files / pieces).cast("int")
+            dealt = runs.withColumn("__file", at).repartitionById(files, "__file").drop("__file")
+        dealt.write.parquet(folder)
+
+    @contextlib.contextmanager
+    def _spread(self, size: int):
+        """Meanwhile shuffles have as many partitions as this many stored bytes call for, never fewer than before."""
+        name = "spark.sql.shuffle.partitions"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(max(int(before), -(-size // PIECE_BYTES))))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     # -- writes --------------------------------------------------------------------------------------------------------
     def append(self, ops: DataFrame, batch: str | None = None) -> None:
         """Add operations; missing columns are null, a missing slot comes from the key. A batch with a name that was
@@ -287,7 +319,9 @@ class Store:
         gone = F.col("kind").isin(int(Kind.DELETE), int(Kind.PREFIX_DELETE)) & (F.col("seq") <= settled_seq)
         folder = f"{self.root}/base-{uuid.uuid4().hex}"
         n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        everything.where(~gone).select(*OPS.names).repartitionByRange(n, "slot", "key").sortWithinPartitions("slot", "key", "subkey").write.parquet(folder)
+        size = self._held_bytes(entry)
+        with self._spread(size):
+            self._deal(everything.where(~gone).select(*OPS.names), n, size, folder)
         there = self._logged()
         known = [n for n in entry["covers"] if n in there or not re.fullmatch(r"[0-9a-f]{32}", n)]  # a named batch may come again
         self._commit(entry, base=folder, covers=sorted({*known, *covers}))
@@ -316,11 +350,11 @@ class Store:
         entry = self._current()
         if not entry["base"]:
             return 0
-        fs, p = self._fs(entry["base"])
-        n = files or max(1, -(-fs.getContentSummary(p).getLength() // BASE_FILE_BYTES))
+        size = self.base_bytes()
+        n = files or max(1, -(-size // BASE_FILE_BYTES))
         folder = f"{self.root}/base-{uuid.uuid4().hex}"
         base = self.spark.read.schema(OPS).parquet(entry["base"])
-        base.repartitionByRange(n, "slot", "key").sortWithinPartitions("slot", "key", "subkey").write.parquet(folder)
+        self._deal(base, n, size, folder)
         self._commit(entry, base=folder)
         return n
 
@@ -356,7 +390,7 @@ class Store:
         folder = f"{other.root}/base-{uuid.uuid4().hex}"
         entry = self._current()
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.ops(entry).repartitionByRange(n, "slot", "key").sortWithinPartitions("slot", "key", "subkey").write.parquet(folder)
+        self._deal(self.ops(entry), n, self._held_bytes(entry), folder)
         other._commit({"commit": 0}, base=folder, covers=[], scanned_sec=entry.get("scanned_sec", 0))
 
     def drop_slot(self, slot: int) -> None:
@@ -387,5 +421,8 @@ class Store:
         return maintenance.slot_stats(self.ops())
 
     def disk_bytes(self) -> int:
-        fs, p = self._fs(self.root)
-        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+        return self._bytes(self.root)
+
+    def base_bytes(self) -> int:
+        base = self._current()["base"]
+        return self._bytes(base) if base else 0

@@ -12,6 +12,7 @@ from tessera.operators import bitmaps, dk, hashes, keyspace, lists, sets, zsets
 from tessera.plans import merge
 from tessera.queries import ORACLES, QUERIES
 from tessera.schema import DataType, Kind, NotFound, WrongType
+from tessera.sources import store as stored
 from tessera.sources.store import Store
 from tessera.streaming import ingest
 
@@ -315,6 +316,29 @@ def test_headers_and_flushes(spark, tmp_path):
     assert store.flush(4)  # nearly all of it deletes
 
 
+def test_bases_of_many_pieces(spark, con, tmp_path, monkeypatch):
+    """A file is sorted piece by piece, so a task holds no more than a piece; a base of more than one file is dealt as such."""
+    monkeypatch.setattr(stored, "PIECE_BYTES", 4096)
+    monkeypatch.setattr(stored, "BASE_FILE_BYTES", 20_000)
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.set(spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").cast("string").alias("value")), now_ms=1)
+    store.compact()
+    want = rows(store.strings(), "key", "value")
+    for files in (2, 3):
+        assert store.rehash(files) == files
+        base = spark.read.parquet(store._current()["base"])
+        dealt = base.groupBy("_metadata.file_name").agg(F.min(F.struct("slot", "key")).alias("lo"), F.max(F.struct("slot", "key")).alias("hi"), F.count("*").alias("n"))
+        ranges = sorted((r["lo"], r["hi"], r["n"]) for r in dealt.collect())
+        assert len(ranges) == files and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False)) and min(r[2] for r in ranges) > 4000
+        for path in tmp_path.glob(f"s/{store._current()['base'].rpartition('/')[2]}/*.parquet"):
+            keys = [tuple(r) for r in duckdb.sql(f"SELECT slot, key FROM read_parquet('{path}', file_row_number = true) ORDER BY file_row_number").fetchall()]
+            falls = sum(b < a for a, b in zip(keys, keys[1:], strict=False))
+            assert falls <= store.base_bytes() // 4096 + 1  # pieces are sorted, whatever their order in the file
+        assert rows(store.strings(), "key", "value") == want
+    df = QUERIES["rehash_roundtrip"](spark, SF)
+    assert rows(df, "dealt", "field", "key", "value") == sorted(con.sql(f"SELECT dealt, field, key, value FROM ({ORACLES['rehash_roundtrip']})").fetchall(), key=repr)
+
+
 def test_batches_are_few_files(spark, tmp_path):
     """Not one for each slot and task; batches that were dealt into a folder for each slot are read beside them."""
     store = Store(spark, f"file://{tmp_path}/s")
