@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 from ..schema import Kind
 
 
+#: Bytes of tables for which spread() gives a partition; a task holds some twenty times as many in memory.
+PART_BYTES = 8 * 1024 * 1024
+
+
+def spread(rows: DataFrame, *on: str) -> DataFrame:
+    """rows dealt by hash over as many partitions as the bytes of the tables they come from call for, never fewer than
+    shuffles have: aggregates and joins on these columns then hold as much in a task however large the tables are."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # what Spark can't tell counts as a Long's maximum
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES))
+    return rows.repartition(n, *on)
+
+
 def latest(records: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """The newest record of each key; of records with one seq the one with the larger kind."""
     order = [F.desc(seq)] + ([F.desc("kind")] if "kind" in records.columns else [])

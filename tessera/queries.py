@@ -310,7 +310,8 @@ def set_rem_count(t):
 
 @query("sets", "SELECT key, member, CAST((key, member) IN (SELECT (key, member) FROM sets) AS BIGINT) AS found FROM (SELECT key, member FROM sets UNION SELECT key, CAST(CAST(member AS BIGINT) + 1 AS VARCHAR) FROM sets)")
 def set_ismember(t):
-    wanted = t.sets().union(t.sets().select("key", (F.col("member").cast("long") + 1).cast("string"))).distinct()
+    wanted = t.set_ops().union(t.set_ops().select("key", (F.col("member").cast("long") + 1).cast("string")))
+    wanted = merge.spread(wanted, *sets.ON).distinct()
     return sets.contains(t.sets(), wanted)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.merge import spread
 from ..schema import DataType, Kind
 
 TTL_MS, MONTH_MS = 7 * 86_400_000, 30 * 86_400_000
@@ -50,7 +51,7 @@ class Tables:
         return self.read("lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").cast("string").alias("member"))
 
     def sets(self) -> DataFrame:
-        return self.set_ops().distinct()
+        return spread(self.set_ops(), "key", "member").distinct()
 
     def lists(self) -> DataFrame:
         from pyspark.sql import Window

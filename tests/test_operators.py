@@ -339,6 +339,19 @@ def test_bases_of_many_pieces(spark, con, tmp_path, monkeypatch):
     assert rows(df, "dealt", "field", "key", "value") == sorted(con.sql(f"SELECT dealt, field, key, value FROM ({ORACLES['rehash_roundtrip']})").fetchall(), key=repr)
 
 
+def test_sets_are_spread_by_bytes(spark, con, monkeypatch):
+    """Partitions grow with the tables, in the distinct members as in the join."""
+    monkeypatch.setattr(merge, "PART_BYTES", 8192, raising=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = QUERIES["set_ismember"](spark, SF)
+        assert df.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert rows(df, "key", "member", "found") == sorted(con.sql(f"SELECT key, member, found FROM ({ORACLES['set_ismember']})").fetchall(), key=repr)
+    assert merge.spread(spark.createDataFrame([("k", "m")], "key string, member string"), "key").count() == 1
+
+
 def test_batches_are_few_files(spark, tmp_path):
     """Not one for each slot and task; batches that were dealt into a folder for each slot are read beside them."""
     store = Store(spark, f"file://{tmp_path}/s")
